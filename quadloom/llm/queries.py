@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .exact_dedup import exact_dedup
+from .html_text import html_text
+from .language_id import language_id
+from .sentencepiece_codec import codec_report, load_model
 from .shingle_join import shingle_join
+from .source_mix import mixed_sizes
 from .token_files import token_files
 
 
@@ -20,6 +24,27 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@cache
+def unigram_model():
+    return load_model(tokenizer_file("piece_bpe_32k.model"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec_report(read(spark, sf_dir, "documents"), unigram_model())
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(read(spark, sf_dir, "pages"))
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sizes(read(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as f:
         return token_files(read(spark, sf_dir, "documents"), f.read())

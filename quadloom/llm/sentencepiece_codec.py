@@ -34,6 +34,8 @@ RUNS = re.compile(b"(?:" + SPACE + b")+(?:(?!" + SPACE + b")[\x00-\xff])*")
 #: What an uncovered character costs below the worst piece; chunks that a worker remembers; texts encoded together.
 UNKNOWN, REMEMBERED, TOGETHER = 10.0, 500_000, 256
 DEAD = -1
+#: Places in the trie that are tried at once.
+WINDOW = 1024
 
 
 @dataclass
@@ -62,15 +64,17 @@ class DoubleArray:
             labels = np.array([words[i][depth] + 1 for i in starts])
             while check[free] != DEAD:
                 free += 1
-            first = at = max(0, (free if len(labels) == 1 else max(free, hint)) - int(labels[0]))
-            while True:
-                if at + 300 > len(check):
+            single = len(labels) == 1 and free >= labels[0]
+            at = max(0, (free if single else max(free, hint)) - int(labels[0]))
+            while not single:
+                if at + WINDOW + 300 > len(check):
                     base, check, value = [np.concatenate([a, np.full(len(a), x, dtype=np.int32)]) for a, x in ((base, 0), (check, DEAD), (value, DEAD))]
-                if (check[at + labels] == DEAD).all():
+                fits = np.logical_and.reduce([check[at + x : at + x + WINDOW] == DEAD for x in labels])
+                if fits.any():
+                    at += int(fits.argmax())
                     break
-                at += 1
-            if len(labels) > 1 and at - first > 16:  # what lies before is nearly full
-                hint = at
+                at += WINDOW
+                hint = at + int(labels[0])  # what lies before is nearly full
             base[node], check[at + labels] = at, node
             for i, end, label in zip(starts, [*starts[1:], hi], labels, strict=True):
                 todo.append((at + int(label), i, end, depth + 1))

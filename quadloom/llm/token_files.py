@@ -191,6 +191,18 @@ class ChunkEncoder:
         return [b"".join(map(self.known.__getitem__, cs)) for cs in chunks]
 
 
+_encoders: dict[int, ChunkEncoder] = {}
+
+
+def encoder_of(tokenizer_json: str) -> ChunkEncoder:
+    """This process's encoder: the next task finds it with what it remembers."""
+    key = zlib.crc32(tokenizer_json.encode())
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = ChunkEncoder(tokenizer_json)
+    return _encoders[key]
+
+
 def write_token_files(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = 0, shards: int | None = None) -> None:
     """Encode docs (doc_id, text) and write the frames, in ascending doc_id order, as the Parquet table at path."""
     spark = docs.sparkSession
@@ -199,7 +211,7 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, path: str, end_id: i
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, shard, frame = ChunkEncoder(sent.value), TaskContext.get().partitionId(), 0
+        encoder, shard, frame = encoder_of(sent.value), TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
         doc_ids: list[int] = []
 
