@@ -7,10 +7,13 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ball_tree import top_k
+from .chat_format import chat_format
 from .common import read
 from .exact_dedup import exact_dedup
 from .html_text import html_text
 from .language_id import language_id
+from .secret_scan import secret_report
 from .sentencepiece_codec import codec_report, load_model
 from .shingle_join import shingle_join
 from .source_mix import mixed_sizes
@@ -24,6 +27,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(read(spark, sf_dir, "documents"))
+
+
 @cache
 def unigram_model():
     return load_model(tokenizer_file("piece_bpe_32k.model"))
@@ -50,6 +57,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         return token_files(read(spark, sf_dir, "documents"), f.read())
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format(read(spark, sf_dir, "conversations"))
+
+
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join(read(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
@@ -58,11 +69,35 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op10_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 SQL = {
+    "op7_chat_format": r"""
+        WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM t),
+        p AS (SELECT conv_id, n, string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY n)
+              OVER (PARTITION BY conv_id ORDER BY n) AS text FROM o),
+        e AS (SELECT conv_id, max(n) AS n_turns, max_by(text, n) AS text FROM p GROUP BY conv_id)
+        SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_logged, text FROM e
+        WHERE text NOT IN (SELECT p.text FROM p JOIN e USING (conv_id) WHERE p.n < e.n_turns)
+        GROUP BY n_turns, text
+    """,
+    "op10_ball_tree": r"""
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+        ), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 5
+    """,
     "op8_shingle_join": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l
