@@ -2,7 +2,7 @@
 
 Documents are range-partitioned and sorted by doc_id; each partition is a shard. A shard is a sequence of frames of
 whole documents (FRAME_TOKENS ids or more each). A frame has one frequency table, shared by its blocks; a block is
-BLOCK_TOKENS ids, dealt to LANES interleaved coder states that write one stream of 32-bit words. Blocks do not depend on
+BLOCK_TOKENS ids, dealt to LANES interleaved coder states that write one stream of 24-bit words. Blocks do not depend on
 each other. Every CHECKPOINT steps a block records its states and its place in the stream, so that a decoder can start
 there; the decoder here runs all checkpoint stretches of all blocks of a frame side by side. Each block carries the
 CRC-32 of its ids, and decoding raises if it does not match.
@@ -16,8 +16,10 @@ of their texts; a null doc_id is written first; an empty table writes a file wit
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +31,13 @@ from pyspark.sql import functions as F
 from .common import Scratch, text_or_empty
 
 #: Bits of a frequency table's total, lanes of a block, ids of a block, steps between checkpoints, ids of a frame.
-PRECISION, LANES, BLOCK_TOKENS, CHECKPOINT, FRAME_TOKENS = 20, 32, 65_536, 512, 1 << 21
-#: A state stays in LOW .. LOW * 2**32.
-LOW = np.uint64(1 << 31)
-WORD, MASK = np.uint64(32), np.uint64(0xFFFFFFFF)
-#: Pretokenised chunks whose ids a worker remembers.
-REMEMBERED = 400_000
+PRECISION, LANES, BLOCK_TOKENS, CHECKPOINT, FRAME_TOKENS = 20, 32, 32_768, 512, 1 << 21
+#: A state stays in LOW .. LOW * 2**24 and gives off words of 24 bits. So states are below 2**52: doubles hold them
+#: exactly, and the floor of a state's quotient by a frequency is exact too, which integer division would take longer for.
+LOW, WORD = float(1 << 28), float(1 << 24)
+SCALE, ROOM = float(1 << PRECISION), LOW / (1 << PRECISION) * WORD
+#: Pretokenised chunks whose ids a worker remembers, in each of two generations.
+REMEMBERED = 300_000
 FRAME_SCHEMA = (
     "shard int, frame int, doc_ids array<long>, lengths array<long>, n_tokens long, freq binary, "
     "blocks array<struct<n:int,words:int,crc:long,states:binary,places:binary>>, stream binary"
@@ -61,56 +64,68 @@ def frequency_table(ids: np.ndarray) -> np.ndarray:
         short += take
     if freq.sum() != total:
         raise ValueError("more distinct ids than the table has room for")
-    return freq.astype(np.uint64)
+    return freq.astype(np.float64)
 
 
 def encode_blocks(ids: np.ndarray, freq: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """ids: (blocks, steps, LANES). Of each block: its words, its states at each checkpoint, and its places there."""
     blocks, steps, lanes = ids.shape
-    cum = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
-    state = np.full((blocks, lanes), LOW, dtype=np.uint64)
-    stream = np.zeros((blocks, 2 * steps * lanes // 2 + lanes), dtype=np.uint32)
+    cum = np.cumsum(freq) - freq
+    state = np.full((blocks, lanes), LOW)
+    stream = np.zeros((blocks, (steps + 1) * lanes), dtype=np.uint32)
+    flat, begin = stream.reshape(-1), np.arange(blocks)[:, None] * stream.shape[1] - 1
     place = np.zeros(blocks, dtype=np.int64)
-    rows = np.arange(blocks)[:, None]
     states, places = [], []
-    bits, room = np.uint64(PRECISION), np.uint64(63 - PRECISION)
     for t in range(steps - 1, -1, -1):
-        f, c = freq[ids[:, t]], cum[ids[:, t]]
-        full = state >= (f << room)
-        if full.any():
-            later = np.cumsum(full[:, ::-1], axis=1)[:, ::-1]  # lanes from here on that write, this one included
-            at = place[:, None] + later - 1
-            stream[np.broadcast_to(rows, full.shape)[full], at[full]] = (state[full] & MASK).astype(np.uint32)
+        now = ids[:, t]
+        f = freq[now]
+        full = state >= f * ROOM
+        later = np.cumsum(full[:, ::-1], axis=1)[:, ::-1]  # lanes from here on that write, this one included
+        writing = np.flatnonzero(full)
+        if len(writing):
+            kept = np.floor(state * (1 / WORD))
+            flat[(begin + place[:, None] + later).reshape(-1)[writing]] = (state - kept * WORD).reshape(-1)[writing]
             place += later[:, 0]
-            state = np.where(full, state >> WORD, state)
-        quotient = state // f
-        state = (quotient << bits) + (state - quotient * f) + c
+            state = np.where(full, kept, state)
+        quotient = np.floor(state / f)
+        state = quotient * (SCALE - f) + state + cum[now]
         if t % CHECKPOINT == 0:
-            states.append(state.copy())
+            states.append(state)
             places.append(place.copy())
     return [(stream[b, : place[b]], np.stack([s[b] for s in states[::-1]]), np.array([p[b] for p in places[::-1]])) for b in range(blocks)]
 
 
 def decode_stretches(stream: np.ndarray, state: np.ndarray, place: np.ndarray, steps: int, freq: np.ndarray) -> np.ndarray:
     """Stretches of as many steps each, side by side. state: (stretches, LANES); place: past each one's next word."""
-    cum = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
+    cum = np.cumsum(freq) - freq
     symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64))
     out = np.empty((state.shape[0], steps, state.shape[1]), dtype=np.uint32)
-    state, place = state.copy(), place.astype(np.int64).copy()
-    bits, low = np.uint64(PRECISION), np.uint64((1 << PRECISION) - 1)
+    place = place.astype(np.int64)
     for t in range(steps):
-        slot = state & low
-        out[:, t] = ids = symbol[slot]
-        state = freq[ids] * (state >> bits) + slot - cum[ids]
+        quotient = np.floor(state * (1 / SCALE))
+        slot = state - quotient * SCALE
+        out[:, t] = ids = symbol[slot.astype(np.int32)]
+        state = freq[ids] * quotient + slot - cum[ids]
         empty = state < LOW
-        if empty.any():
-            sofar = np.cumsum(empty, axis=1)
-            at = place[:, None] - sofar
-            state[empty] = (state[empty] << WORD) | stream[at[empty]].astype(np.uint64)
-            place -= sofar[:, -1]
+        sofar = np.cumsum(empty, axis=1)
+        reading = np.flatnonzero(empty)
+        if len(reading):
+            at = (place[:, None] - sofar).reshape(-1)[reading]
+            state.reshape(-1)[reading] = state.reshape(-1)[reading] * WORD + stream[at]
+            place = place - sofar[:, -1]
     return out
 
 
+def _packed(words: np.ndarray) -> bytes:
+    return words.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 3, 4), dtype=np.uint8)
+    wide[:, :3] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 3)
+    return wide.view("<u4").reshape(-1)
+
+
 def encode_frame(ids: np.ndarray) -> dict:
     """A frame's table, blocks and stream. ids: unsigned 32-bit, one at least."""
     freq = frequency_table(ids)
@@ -123,21 +138,21 @@ def encode_frame(ids: np.ndarray) -> dict:
     for part, n in parts:
         for words, states, places in encode_blocks(part, freq):
             crc = zlib.crc32(ids[first : first + n].astype("<u4").tobytes())
-            blocks.append({"n": n, "words": len(words), "crc": crc, "states": states.astype("<u8").tobytes(), "places": places.astype("<i8").tobytes()})
-            streams.append(words.astype("<u4").tobytes())
+            blocks.append({"n": n, "words": len(words), "crc": crc, "states": states.astype("<f8").tobytes(), "places": places.astype("<i8").tobytes()})
+            streams.append(_packed(words))
             first += n
     return {"n_tokens": len(ids), "freq": zlib.compress(freq.astype("<u4").tobytes()), "blocks": blocks, "stream": b"".join(streams)}
 
 
 def decode_frame(freq: bytes, blocks: list, stream: bytes) -> np.ndarray:
     """The frame's ids; raises ValueError if a block's checksum does not match."""
-    table = np.frombuffer(zlib.decompress(freq), dtype="<u4").astype(np.uint64)
-    words = np.frombuffer(stream, dtype="<u4")
+    table = np.frombuffer(zlib.decompress(freq), dtype="<u4").astype(np.float64)
+    words = _unpacked(stream)
     stretches: dict[int, list] = {}
     begin = first = 0
     for b in blocks:
         steps = -(-b["n"] // LANES)
-        states = np.frombuffer(b["states"], dtype="<u8").reshape(-1, LANES)
+        states = np.frombuffer(b["states"], dtype="<f8").reshape(-1, LANES)
         places = np.frombuffer(b["places"], dtype="<i8") + begin
         for k, (state, place) in enumerate(zip(states, places, strict=True)):
             stretches.setdefault(min(CHECKPOINT, steps - k * CHECKPOINT), []).append((first + k * CHECKPOINT * LANES, state, place))
@@ -168,27 +183,60 @@ class ChunkEncoder:
     the end) is not such a place: those texts are encoded whole."""
 
     UNSAFE = re.compile(r"\s \s|\s {1,2}\Z|  ")
+    #: An unsafe text has one of these, or ends with a space; looking for them costs less than the pattern.
+    HINTS = tuple(f"{chr(c)} " for c in range(0x3001) if chr(c).isspace())
 
     def __init__(self, tokenizer_json: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel part; the library's threads would spin beside them
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        space = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0]  # as the vocabulary writes it
+        self.begins = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
+        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(space)]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def chunks(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of chunks with a space in front. Chunks without white space are encoded in a row: a token that begins with a
+        space begins a chunk there."""
+        plain = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
+        found = {}
+        for i in range(0, len(plain), 4096):
+            some = plain[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) == len(some):
+                ends, data = [*(starts[1:] * 4).tolist(), len(ids) * 4], ids.tobytes()
+                found.update(zip(some, [data[a:b] for a, b in zip((starts * 4).tolist(), ends, strict=True)], strict=True))
+        rest = [c for c in new if c not in found]
+        found.update(zip(rest, self.whole([f" {c}" for c in rest]), strict=True))
+        return found
+
+    def unsafe(self, text: str) -> bool:
+        return (text.endswith(" ") or any(h in text for h in self.HINTS)) and bool(self.UNSAFE.search(text))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        chunks = [[t] if self.UNSAFE.search(t) else [(" " + c) for c in t.split(" ")] for t in texts]
-        for t, c in zip(texts, chunks, strict=True):
-            if len(c) > 1 or c[0] != t:
-                c[0] = c[0][1:]
+        cut = [[t] if self.unsafe(t) else t.split(" ") for t in texts]  # all but the first chunk have their space in front
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        missing = list({c for cs in chunks for c in cs if c not in self.known})
-        self.known.update(zip(missing, self.whole(missing), strict=True))
-        return [b"".join(map(self.known.__getitem__, cs)) for cs in chunks]
+            self.known, self.older = {}, self.known
+        flat = [c for cs in cut for c in cs[1:]]
+        ids = list(map(self.known.get, flat))
+        missing = {c for c, x in zip(flat, ids, strict=True) if x is None}
+        kept = {c: x for c in missing if (x := self.older.get(c)) is not None}
+        kept |= self.chunks([c for c in missing if c not in kept])
+        self.known |= kept
+        if missing:
+            ids = [kept[c] if x is None else x for c, x in zip(flat, ids, strict=True)]
+        out, at = [], 0
+        for first, cs in zip(self.whole([cs[0] for cs in cut]), cut, strict=True):
+            out.append(first + b"".join(ids[at : at + len(cs) - 1]))
+            at += len(cs) - 1
+        return out
 
 
 _encoders: dict[int, ChunkEncoder] = {}
@@ -221,8 +269,8 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, path: str, end_id: i
 
         held = 0
         for batch in batches:
-            for i in range(0, len(batch), 64):
-                part = batch.iloc[i : i + 64]
+            for i in range(0, len(batch), 256):
+                part = batch.iloc[i : i + 256]
                 for doc_id, got in zip(part["doc_id"], encoder(part["text"].tolist()), strict=True):
                     ids.append(got + end)
                     doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
