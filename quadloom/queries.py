@@ -97,10 +97,10 @@ def cmp_range(spark, sf_dir):
     return T.within(lift(spark, sf_dir), "totalprice", 50000, 60000)
 
 
-@query(f"SELECT {P} AS r FROM part WHERE regexp_matches(p_name, '1[0-9]*5', 'i')")
+@query(f"SELECT {P} AS r FROM part WHERE regexp_matches(p_name, 'B.*T$', 'i')")
 def cmp_regex(spark, sf_dir):
     g = lift(spark, sf_dir)
-    return T.all_of(T.compare(g, "name", "regexp", "1[0-9]*5"), T.of_type(g, "Part"))
+    return T.all_of(T.compare(g, "name", "regexp", "B.*T$"), T.of_type(g, "Part"))
 
 
 @query(f"SELECT {S} AS r FROM supplier WHERE s_acctbal IS NOT NULL UNION SELECT {C} FROM customer WHERE c_acctbal IS NOT NULL")
@@ -306,22 +306,22 @@ def fulltext_score(spark, sf_dir):
 # ---- files and canned queries -----------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT {G} AS r FROM pages WHERE starts_with(url, 'https://ththnd.example.net/') OR starts_with(url, 'http://tionsh.example.net/fr/')")
+@query(f"SELECT {G} AS r FROM pages WHERE starts_with(url, 'https://blog.tionsh.example.net/') OR starts_with(url, 'http://blog.tionsh.example.net/fr/')")
 def file_include(spark, sf_dir):
     g = lift(spark, sf_dir, ["pages"])
-    return Q.file_query(g, include=[("https://ththnd.example.net", True), ("http://tionsh.example.net/fr/", True)], files="Page")
+    return Q.file_query(g, include=[("https://blog.tionsh.example.net", True), ("http://blog.tionsh.example.net/fr/", True)], files="Page")
 
 
-@query(f"SELECT {G} AS r FROM pages WHERE NOT starts_with(url, 'https://ththnd.example.net/')")
+@query(f"SELECT {G} AS r FROM pages WHERE NOT starts_with(url, 'https://blog.tionsh.example.net/')")
 def file_exclude(spark, sf_dir):
     g = lift(spark, sf_dir, ["pages"])
-    return Q.file_query(g, exclude=["https://ththnd.example.net"], files="Page")
+    return Q.file_query(g, exclude=["https://blog.tionsh.example.net"], files="Page")
 
 
-@query(f"SELECT {G} AS r FROM pages WHERE regexp_matches(url, '^https://[^/]*/en/[^/]*$') AND starts_with(url, 'https://ththnd.example.net/en/')")
+@query(f"SELECT {G} AS r FROM pages WHERE regexp_matches(url, '^https://[^/]*/en/[^/]*$') AND starts_with(url, 'https://blog.tionsh.example.net/en/')")
 def file_nonrecursive(spark, sf_dir):
     g = lift(spark, sf_dir, ["pages"])
-    return Q.file_query(g, include=[("https://ththnd.example.net/en", False)], files="Page")
+    return Q.file_query(g, include=[("https://blog.tionsh.example.net/en", False)], files="Page")
 
 
 @query(f"SELECT {O} AS r, CAST(o_orderdate AS TIMESTAMP) AS modified FROM orders ORDER BY o_orderdate DESC, r LIMIT 25")
