@@ -37,7 +37,7 @@ PRECISION, LANES, BLOCK_TOKENS, CHECKPOINT, FRAME_TOKENS = 20, 32, 32_768, 512,
 LOW, WORD = float(1 << 28), float(1 << 24)
 SCALE, ROOM = float(1 << PRECISION), LOW / (1 << PRECISION) * WORD
 #: Pretokenised chunks whose ids a worker remembers, in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 FRAME_SCHEMA = (
     "shard int, frame int, doc_ids array<long>, lengths array<long>, n_tokens long, freq binary, "
     "blocks array<struct<n:int,words:int,crc:long,states:binary,places:binary>>, stream binary"
