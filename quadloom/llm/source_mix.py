@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import SPACES, Scratch, text_or_empty, word_count
 
 #: Words of a block, slots of an output shard, documents of a chunk (about), rounds of the shuffle.
-BLOCK_WORDS, SHARD_SLOTS, CHUNK_DOCS, ROUNDS = 32, 65_536, 8_192, 10
+BLOCK_WORDS, SHARD_SLOTS, CHUNK_DOCS, ROUNDS = 32, 16_384, 8_192, 10
 SEED = 20_240_601
 #: Weights of the sources in order, repeating; words to take, and words of a source to take at most, by its size.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
@@ -113,8 +113,10 @@ class Mix:
         missing = counts.withColumn("drawn", drawn_slots).filter((F.col("shard") == 0) & (F.col("drawn") < F.col("slots")))
         last = missing.select("sid", "blocks", F.col("shards").alias("shard"), F.col("drawn").alias("first"), (F.col("slots") - F.col("drawn")).alias("count"))
         runs = counts.filter("count > 0").select("sid", "blocks", "shard", "first", "count").unionByName(last)
-        # A run of a shard's slots of one source holds SHARD_SLOTS at most, but for the last shard's.
-        slots = runs.withColumn("j", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
+        # A run of a shard's slots of one source holds SHARD_SLOTS at most, but for the last shard's. The few rows of runs become
+        # all slots of the mix: they are dealt out first, to a fixed number of tasks.
+        tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slots = runs.repartition(tasks, "sid", "shard").withColumn("j", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
         slots = slots.withColumn("epoch", F.floor(F.col("j") / F.col("blocks")))
         block = shuffled(F.col("j") % F.col("blocks"), F.col("blocks"), F.lit(SEED), F.col("sid"), F.col("epoch"))
         return slots.select("shard", F.xxhash64(F.lit(SEED), "sid", "j").alias("slot"), "sid", "epoch", block.alias("block"))
@@ -127,7 +129,8 @@ class Mix:
         held = held.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((end - 1) / length))))
         first = F.greatest(F.lit(0).cast("long"), F.col("block") * length - F.col("start"))
         held = held.withColumn("first", first).withColumn("words", F.least(F.col("size"), (F.col("block") + 1) * length - F.col("start")) - F.col("first"))
-        return self.slots().join(held, ["sid", "block"])
+        # Both sides are larger than their plans' estimates, which don't know how many rows a sequence gives: no broadcast.
+        return self.slots().hint("merge").join(held.hint("merge"), ["sid", "block"])
 
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:
