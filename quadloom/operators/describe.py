@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..plans.graph import TYPE
 from ..plans.ontology import Ontology
-from .mutate import META, SUBRESOURCE, Changed, touched
+from ..session import cut_lineage
+from .mutate import META, SUBRESOURCE, Changed, settled, touched
 
 MOST_ROUNDS = 64
 
@@ -17,10 +18,10 @@ def reachable(start: DataFrame, edges: DataFrame, rounds: int = MOST_ROUNDS) ->
     found = start.select("s").distinct()
     frontier = found
     for _ in range(rounds):
-        frontier = frontier.join(edges, "s").select(F.col("o").alias("s")).distinct().join(found, "s", "left_anti").checkpoint()
+        frontier = cut_lineage(frontier.join(edges, "s").select(F.col("o").alias("s")).distinct().join(found, "s", "left_anti"))
         if frontier.isEmpty():
             return found
-        found = found.unionByName(frontier).checkpoint()
+        found = cut_lineage(found.unionByName(frontier))
     raise RuntimeError("more rounds than expected")
 
 
@@ -33,10 +34,11 @@ def owned(quads: DataFrame, start: DataFrame, p: str = SUBRESOURCE) -> DataFrame
     chosen = subresources(quads, start, p)
     links = quads.filter("o_kind = 'uri'").select(F.col("s").alias("from"), F.col("o").alias("s")).filter(F.col("from") != F.col("s"))
     for _ in range(MOST_ROUNDS):
-        outside = links.join(chosen, "s", "left_semi").join(chosen.select(F.col("s").alias("from")), "from", "left_anti").select("s").distinct().join(start.select("s"), "s", "left_anti").checkpoint()
+        linked = links.join(chosen, "s", "left_semi").join(chosen.select(F.col("s").alias("from")), "from", "left_anti").select("s").distinct()
+        outside = cut_lineage(linked.join(start.select("s"), "s", "left_anti"))
         if outside.isEmpty():
             return chosen
-        chosen = chosen.join(outside, "s", "left_anti").checkpoint()
+        chosen = cut_lineage(chosen.join(outside, "s", "left_anti"))
     raise RuntimeError("more rounds than expected")
 
 
@@ -48,7 +50,7 @@ def remove_resources(quads: DataFrame, resources: DataFrame, now: str, with_subr
     referring = left.filter("o_kind = 'uri'").join(as_object, "o", "left_semi")
     rest = left.join(as_object.withColumn("o_kind", F.lit("uri")), ["o", "o_kind"], "left_anti").select(*quads.columns)
     dropped = quads.join(gone, "s", "left_semi").select("s", "p", "o").unionByName(referring.select("s", "p", "o")).withColumn("added", F.lit(False))
-    return Changed(touched(rest, referring, now), dropped)
+    return settled(touched(rest, referring, now), dropped)
 
 
 def describe(quads: DataFrame, ontology: Ontology, resources: DataFrame, discardable: bool = True) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.graph import CREATED, TYPE, URL
 from ..plans.ontology import Ontology
+from ..session import cut_lineage
 from .mutate import renamed
 
 #: Rounds of references between blank nodes.
@@ -57,10 +58,10 @@ def identifier(ontology: Ontology, data_objects: tuple[str, ...] = (), unique: t
         for _ in range(MOST_ROUNDS):
             now = renamed(rest.join(found.select(F.col("from").alias("s")), "s", "left_anti"), found)
             waiting = now.filter(F.col("o").startswith("_:")).select("s").distinct()
-            new = by_properties(now.join(waiting, "s", "left_anti"), quads, ontology).checkpoint()
+            new = cut_lineage(by_properties(now.join(waiting, "s", "left_anti"), quads, ontology))
             if new.isEmpty():
                 break
-            found = found.unionByName(new).checkpoint()
+            found = cut_lineage(found.unionByName(new))
         return found
 
     return identify

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.values import coerced, parsed_lanes
 from ..plans.graph import CREATED, MODIFIED, PREFIX, TYPE, URL
 from ..plans.ontology import ROOT, Ontology
+from ..session import cut_lineage
 
 META = [CREATED, MODIFIED, "nao:creator", "nao:userVisible"]
 META_GRAPH = "graph:/meta"
@@ -32,6 +33,11 @@ class Changed:
     changes: DataFrame
 
 
+def settled(quads: DataFrame, changes: DataFrame) -> Changed:
+    """A change as a snapshot: both parts are computed and kept, so that a chain of changes does not plan all of them again."""
+    return Changed(cut_lineage(quads), cut_lineage(changes))
+
+
 def graph_of(app: str, discardable: bool = False) -> str:
     """The one graph of an application (for data that can be made again: another one)."""
     if not app:
@@ -111,7 +117,7 @@ def add_property(quads: DataFrame, ontology: Ontology, rows: DataFrame, app: str
     fitted = checked(rows, ontology)
     check_cardinality(quads, fitted)
     done = add(quads, complete(fitted, graph_of(app)))
-    return Changed(touched(done.quads, done.changes, now), done.changes)
+    return settled(touched(done.quads, done.changes, now), done.changes)
 
 
 def set_property(quads: DataFrame, ontology: Ontology, rows: DataFrame, app: str, now: str) -> Changed:
@@ -124,19 +130,19 @@ def set_property(quads: DataFrame, ontology: Ontology, rows: DataFrame, app: str
     kept = remove(quads, gone, ["s", "p", "o", "o_kind"])
     fresh = new.dropDuplicates(KEYS).join(quads.select("s", "p", "o", "o_kind").distinct(), ["s", "p", "o", "o_kind"], "left_anti")
     changes = kept.changes.unionByName(fresh.select("s", "p", "o", F.lit(True).alias("added")))
-    return Changed(touched(kept.quads.unionByName(fresh), changes, now), changes)
+    return settled(touched(kept.quads.unionByName(fresh), changes, now), changes)
 
 
 def remove_property(quads: DataFrame, rows: DataFrame, now: str) -> Changed:
     """rows: (s, p, o). Resources of which only metadata is left go altogether."""
     done = remove(quads, rows.filter(~F.col("p").isin(META)), ["s", "p", "o"])
-    return Changed(swept(touched(done.quads, done.changes, now), done.changes), done.changes)
+    return settled(swept(touched(done.quads, done.changes, now), done.changes), done.changes)
 
 
 def remove_properties(quads: DataFrame, rows: DataFrame, now: str) -> Changed:
     """rows: (s, p)."""
     done = remove(quads, rows.filter(~F.col("p").isin(META)), ["s", "p"])
-    return Changed(swept(touched(done.quads, done.changes, now), done.changes), done.changes)
+    return settled(swept(touched(done.quads, done.changes, now), done.changes), done.changes)
 
 
 def create_resources(quads: DataFrame, ontology: Ontology, rows: DataFrame, app: str, now: str) -> Changed:
@@ -150,7 +156,7 @@ def create_resources(quads: DataFrame, ontology: Ontology, rows: DataFrame, app:
     labels = rows.filter("label is not null").select("s", F.lit("nao:prefLabel").alias("p"), F.col("label").alias("o"), F.lit("lit").alias("o_kind"), F.lit("xsd:string").alias("dt"))
     done = add(quads, complete(own.unionByName(labels), graph_of(app)))
     stamp = rows.select("s", F.lit(CREATED).alias("p"), F.lit(now).alias("o"), F.lit("lit").alias("o_kind"), F.lit("xsd:dateTime").alias("dt"))
-    return Changed(touched(add(done.quads, complete(stamp, META_GRAPH)).quads, rows, now), done.changes)
+    return settled(touched(add(done.quads, complete(stamp, META_GRAPH)).quads, rows, now), done.changes)
 
 
 def move_urls(quads: DataFrame, moves: DataFrame) -> DataFrame:
@@ -184,7 +190,7 @@ def reduce_duplicates(rows: DataFrame, rounds: int = 16) -> tuple[DataFrame, Dat
             return rows, names
         rows = renamed(rows, mapping).distinct()
         names = names.join(mapping, names["new"] == mapping["from"], "left").select("old", F.coalesce("to", "new").alias("new"))
-        rows, names = rows.checkpoint(), names.checkpoint()
+        rows, names = cut_lineage(rows), cut_lineage(names)
     raise RuntimeError("duplicates did not settle")
 
 
@@ -206,7 +212,7 @@ def merge_resources(quads: DataFrame, ontology: Ontology, mapping: DataFrame) ->
     kept = ranked.filter(~F.col("p").isin(single) | (F.col("__n") == 1)).select(*quads.columns).dropDuplicates(KEYS)
     gone = quads.join(kept, [*KEYS], "left_anti").select("s", "p", "o", F.lit(False).alias("added"))
     new = kept.join(quads, [*KEYS], "left_anti").select("s", "p", "o", F.lit(True).alias("added"))
-    return Changed(kept, gone.unionByName(new))
+    return settled(kept, gone.unionByName(new))
 
 
 def store_resources(quads: DataFrame, ontology: Ontology, rows: DataFrame, app: str, now: str, identify=None, overwrite: bool = False, overwrite_all: bool = False, lazy: bool = False, merge_duplicates: bool = True, discardable: bool = False) -> tuple[Changed, DataFrame]:
@@ -222,7 +228,8 @@ def store_resources(quads: DataFrame, ontology: Ontology, rows: DataFrame, app:
     found = identify(rows, quads) if identify else rows.sparkSession.createDataFrame([], "from string, to string")
     blanks = names.filter(F.col("new").startswith("_:")).select(F.col("new").alias("from")).distinct().join(found, "from", "left")
     mapping = blanks.select("from", F.coalesce("to", F.concat(F.lit(f"{PREFIX}{app}/"), F.substring(F.sha2(F.concat_ws("|", F.lit(app), F.lit(now), "from"), 256), 1, 32))).alias("to"))
-    fitted = checked(renamed(rows, mapping), ontology)
+    mapping = cut_lineage(mapping)
+    fitted = cut_lineage(checked(renamed(rows, mapping), ontology))
     if lazy:
         fitted = fitted.withColumn("__n", F.row_number().over(Window.partitionBy("s", "p").orderBy("o"))).filter("max_card <> 1 or __n = 1").drop("__n")
     base = quads
@@ -235,7 +242,7 @@ def store_resources(quads: DataFrame, ontology: Ontology, rows: DataFrame, app:
     stamp = fresh.select("s", F.lit(CREATED).alias("p"), F.lit(now).alias("o"), F.lit("lit").alias("o_kind"), F.lit("xsd:dateTime").alias("dt"))
     final = touched(add(done.quads, complete(stamp, META_GRAPH)).quads, done.changes, now)
     result = names.filter(F.col("old").startswith("_:")).join(mapping, names["new"] == mapping["from"]).select(F.col("old").alias("blank"), F.col("to").alias("s"))
-    return Changed(final, done.changes), result
+    return settled(final, done.changes), cut_lineage(result)
 
 
 def remove_data_by_application(quads: DataFrame, app: str, now: str, resources: DataFrame | None = None) -> Changed:
@@ -248,4 +255,4 @@ def remove_data_by_application(quads: DataFrame, app: str, now: str, resources:
         gone, rest = marked.filter(own & F.col("__hit")).drop("__hit"), marked.filter(~(own & F.coalesce("__hit", F.lit(False)))).drop("__hit")
     else:
         gone, rest = quads.filter(own), quads.filter(~own)
-    return Changed(swept(touched(rest, gone, now), gone), gone.select("s", "p", "o", F.lit(False).alias("added")))
+    return settled(swept(touched(rest, gone, now), gone), gone.select("s", "p", "o", F.lit(False).alias("added")))

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 ROOT = "rdfs:Resource"
 SCHEMA = "uri string, is_property boolean, parent string, domain string, range string, max_card int, defining boolean, inverse string, label string"
 #: Rounds after which a hierarchy is taken to be broken.
@@ -22,7 +24,7 @@ def closure(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     count = known.count()
     for _ in range(MOST_ROUNDS):
         twice = known.alias("a").join(known.alias("b"), F.col("a.sup") == F.col("b.sub")).select(F.col("a.sub"), F.col("b.sup")).distinct()
-        known = twice.checkpoint() if twice.sparkSession.sparkContext.getCheckpointDir() else twice.cache()
+        known = cut_lineage(twice)
         found = known.count()
         if found == count:
             return known
@@ -54,13 +56,18 @@ class Ontology:
         return self.table.filter("is_property").drop("is_property")
 
     def class_closure(self) -> DataFrame:
-        rows = self.table.filter("not is_property")
-        every = rows.select("uri").union(rows.select("parent")).distinct()
-        return closure(rows.select(F.col("uri").alias("sub"), F.col("parent").alias("sup")), every)
+        """(sub, sup), reflexive; made from the driver's copy of the hierarchy, which people wrote and terms need there anyway.
+        closure() does the same for hierarchies that are data."""
+        return self._closure(False)
 
     def property_closure(self) -> DataFrame:
-        rows = self.properties()
-        return closure(rows.filter("parent is not null").select(F.col("uri").alias("sub"), F.col("parent").alias("sup")), rows.select("uri").distinct())
+        return self._closure(True)
+
+    def _closure(self, is_property: bool) -> DataFrame:
+        table = self._parents(is_property)
+        every = set(table) | {p for ps in table.values() for p in ps if p}
+        pairs = [(sub, sup) for sup in every for sub in self._below(sup, is_property)]
+        return self.table.sparkSession.createDataFrame(pairs, "sub string, sup string")
 
     def _below(self, uri: str, is_property: bool) -> list[str]:
         found = [uri]

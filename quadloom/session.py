@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, partitions: int = 8, **conf: str) -> SparkSession:
@@ -20,3 +22,11 @@ def local_session(cpus: int | str = 8, partitions: int = 8, **conf: str) -> Spar
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df, computed and kept in the folder that spark.checkpoint.dir names (one of our own where that is unset)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+    return df.checkpoint()

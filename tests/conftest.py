@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from quadloom.session import local_session
 
-    session = local_session(8, 8)
+    session = local_session(8, 4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
