@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import SPACES, Scratch, text_or_empty, word_count
 
 #: Words of a block, slots of an output shard, documents of a chunk (about), rounds of the shuffle.
-BLOCK_WORDS, SHARD_SLOTS, CHUNK_DOCS, ROUNDS = 32, 16_384, 8_192, 10
+BLOCK_WORDS, SHARD_SLOTS, CHUNK_DOCS, ROUNDS = 32, 16_384, 2_048, 10
 SEED = 20_240_601
 #: Weights of the sources in order, repeating; words to take, and words of a source to take at most, by its size.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
