@@ -104,9 +104,10 @@ def property_of(column: str) -> str:
 
 
 def key_of(table: str, df: DataFrame) -> Column:
-    """The uri of a row. Rows without a key column are known by a hash of the whole row."""
+    """The uri of a row. Rows without a key column are known by two hashes of the whole row, 128 bits."""
     key = TABLES[table][1]
-    return F.concat(F.lit(f"{PREFIX}{table}/"), F.col(key).cast("string") if key else F.sha2(F.to_json(F.struct(*[F.col(c) for c in df.columns])), 256))
+    whole = [F.hex(F.xxhash64(F.lit(seed), *df.columns)) for seed in (1, 2)]
+    return F.concat(F.lit(f"{PREFIX}{table}/"), *([F.col(key).cast("string")] if key else whole))
 
 
 def demo_ontology(spark: SparkSession) -> Ontology:
