@@ -31,7 +31,14 @@ def by_properties(rows: DataFrame, quads: DataFrame, ontology: Ontology) -> Data
     blank = rows.filter(F.col("s").startswith("_:"))
     given = blank.join(defining, "p", "left_semi").groupBy(F.col("s").alias("from"), "p").agg(F.min("o").alias("o"))
     facts = quads.join(defining, "p", "left_semi").select(F.col("s").alias("to"), "p", "o").distinct()
-    first = given.join(facts, ["p", "o"]).select("from", "to").distinct()
+    # A candidate that fits has the given value of each defining property that it has values of. So for every set of
+    # properties that candidates have, the given value that fewest of them share finds all that can fit.
+    has = facts.groupBy("to").agg(F.array_sort(F.collect_set("p")).alias("has"))
+    keyed = facts.join(has, "to").select("to", "has", "p", "o")
+    shared = keyed.groupBy("has", "p", "o").agg(F.count("*").alias("sharing"))
+    sets = has.select("has").distinct().withColumn("p", F.explode("has"))
+    rarest = given.join(sets, "p").join(shared, ["has", "p", "o"], "left").groupBy("from", "has").agg(F.min(F.struct(F.coalesce("sharing", F.lit(0)).alias("sharing"), "p", "o")).alias("key"))
+    first = rarest.filter("key.sharing > 0").select("from", "has", "key.p", "key.o").join(keyed, ["has", "p", "o"]).select("from", "to").distinct()
     # A defining property speaks against a candidate that has values of it, none of which is the given one.
     compared = first.join(given, "from").join(facts.withColumnRenamed("o", "held"), ["to", "p"]).groupBy("from", "to", "p").agg(F.max(F.col("held") == F.col("o")).alias("agrees"), F.count("*").alias("n"))
     fitting = compared.groupBy("from", "to").agg(F.bool_and("agrees").alias("fits"), F.sum("n").alias("score")).filter("fits")

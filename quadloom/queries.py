@@ -451,6 +451,15 @@ def identify_best(spark, sf_dir):
     return IDENT.by_properties(blank, quads, g.ontology)
 
 
+@query("""SELECT concat('_:', c_custkey) AS "from", concat('res:/customer/', min(CAST(c_custkey AS VARCHAR)) OVER (PARTITION BY c_name, c_acctbal, c_mktsegment)) AS "to" FROM customer""")
+def identify_all(spark, sf_dir):
+    """Blank nodes with the name, balance and segment of every customer are those customers."""
+    g = lift(spark, sf_dir, ["customer"])
+    quads = g.quads()
+    blank = quads.filter(F.col("p") != "nation").select(F.concat(F.lit("_:"), F.substring_index("s", "/", -1)).alias("s"), "p", "o")
+    return IDENT.by_properties(blank, quads, g.ontology)
+
+
 @query(f"""SELECT {C} AS s, CASE WHEN c_mktsegment = 'BUILDING' THEN 'HOUSING' ELSE c_mktsegment END AS segment FROM customer""")
 def set_property(spark, sf_dir):
     g = lift(spark, sf_dir, ["customer"])

@@ -307,3 +307,19 @@ def test_classification(spark):
     assert [r[0] for r in masks.select(file_events.classified(F.col("m"))).collect()] == ["movedFrom", "movedTo", "created", "unknown"]
     events = spark.createDataFrame([("moved", "a", "b", False), ("created", None, "f", False), ("created", None, "d", True), ("closedWrite", None, "f", False)], "event string, old string, new string, is_folder boolean")
     assert [r["action"] for r in file_events.actions(events).collect()] == ["move", "index_folder", "index_file"]
+
+
+def test_every_customer_is_identified(spark):
+    from quadloom.queries import identify_all
+
+    got = {tuple(r) for r in identify_all(spark, "/root/testdata/sf0.001").collect()}
+    keys = [r["c_custkey"] for r in spark.read.parquet("/root/testdata/sf0.001/customer.parquet").collect()]
+    assert {a for a, _ in got} == {f"_:{k}" for k in keys}
+    assert len(got) == len(keys)
+
+
+def test_candidates_with_few_and_with_many_values(spark, onto, start):
+    # Candidates are found by what they have: c has no nick, a has several values of it.
+    quads = start.unionByName(start.filter("s = 'res:/a' and p = 'nick'").withColumn("o", F.lit("an")))
+    batch = rows(spark, ("_:1", TYPE, "Contact"), ("_:1", "fullname", "Ann"), ("_:1", "nick", "an"), ("_:2", TYPE, "Contact"), ("_:2", "nick", "none"))
+    assert [tuple(r) for r in identify.by_properties(batch, quads, onto).collect()] == [("_:1", "res:/a")]
