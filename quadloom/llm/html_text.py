@@ -2,10 +2,11 @@
 
 Markup is cut into blocks: each block element (and <br>) ends a line, as in a page seen as plain text. Lines of elements
 that are never main text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments;
-known by element, role, class or id) and lines that are mostly links weigh nothing, the others their length. Over the
+known by element, role, class or id; by class or id only if the whole name says so, and inside an article only containers
+of menus, adverts and comments) and lines that are mostly links weigh nothing, the others their length. Over the
 sums of sliding windows of WINDOW lines, a surge is where the sums leave zero and a dive is where they come back; what has
 weight between a surge and its dive is one stretch. Where the page marks its article, the stretches inside it are the
-text; else it is the stretch with most text and those at least NEARLY as long.
+text; else all stretches are.
 
 Pages are looked at one by one, with Python's own regular expressions, inside mapInPandas.
 
@@ -24,8 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines in a window; the share of the longest stretch from which a stretch belongs to the text; links' share of a menu line.
-WINDOW, NEARLY, LINKED = 3, 0.5, 0.6
+#: Lines in a window; links' share of a menu line.
+WINDOW, LINKED = 3, 0.6
 
 # Elements by what they mean for text.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes")
@@ -38,21 +39,43 @@ BLOCK = frozenset(
 #: Elements that the start of one of the same group ends.
 SIBLINGS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-NEVER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promos?|banners?|cookies?|consent|notices?|alerts?|popups?|modals?|overlays?|"
-    r"nav|navs|navbar|navigation|menus?|breadcrumbs?|sidebars?|footers?|headers?|masthead|topbar|toolbar|widgets?|related|recommended|share|sharing|social|"
-    r"newsletter|subscribe|subscription|signup|login|search|pagination|pager|comments?|comment-?list|respond|replies|disqus)(?:$|[\s_-])",
+#: Elements that hold other blocks: only these are menus, adverts or comments by their names inside an article.
+CONTAINERS = frozenset("center details div dl ol section table ul".split())
+#: Whole names of menus, adverts and comments.
+PART_NAMES = re.compile(
+    r"ads?|adverts?|advertisements?|advertising|adsense|sponsored|promos?|banners?|nav|navs|navbar|navigation|menus?|breadcrumbs?|sidebars?|toolbar|pagination|pager|"
+    r"comments?|comment-?list|respond|replies|disqus",
     re.IGNORECASE,
 )
+#: Parts of names outside an article, of which one is there and all others only tell the layout.
+NEVER_PARTS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos banner banners cookie cookies consent notice notices alert alerts popup popups "
+    "modal modals overlay overlays nav navs navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer footers header headers masthead topbar toolbar widget widgets related recommended "
+    "share sharing social newsletter subscribe subscription signup login search pagination pager comment comments commentlist respond replies disqus".split()
+)
+LAYOUT_PARTS = frozenset(
+    "area bar bars block body bottom box btn button buttons center column col container content dialog fixed float form global group holder icon icons inner item items left level line link links list "
+    "main message mobile module outer page panel post posts primary right row secondary section site slot small sticky sub text top unit wrap wrapper".split()
+)
 
 ABOUT = re.compile(r"(?:has|with|without|no|js)[_-]", re.IGNORECASE)  # names that only mention another element
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<", re.DOTALL)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s>/=\"']+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*)))?")  # a whole attribute: its value is never searched for names
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.IGNORECASE) for name in RAW}
 BLANKS = re.compile(r"\s+")
 
 
+def _is_part(name: str, value: str, inside_article: bool) -> bool:
+    """Whether a class or id says that an element is no main text."""
+    if PART_NAMES.fullmatch(value):
+        return name in CONTAINERS or not inside_article
+    if inside_article or name not in CONTAINERS or ABOUT.match(value):
+        return False
+    parts = [x for x in re.split(r"[_-]+", value.lower()) if x and not x.isdigit()]
+    return any(x in NEVER_PARTS for x in parts) and all(x in NEVER_PARTS or x in LAYOUT_PARTS for x in parts)
+
+
 def _never(name: str, attributes: str, inside_article: bool) -> bool:
     if name in NEVER or (name == "header" and not inside_article):
         return True
@@ -65,7 +88,7 @@ def _never(name: str, attributes: str, inside_article: bool) -> bool:
             or (key == "aria-hidden" and value.lower() == "true")
             or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE))
             or (key == "role" and value.lower() in NEVER_ROLES)
-            or (key in ("class", "id") and name not in ("html", "body", "article", "main") and any(NEVER_NAMES.search(x) and not ABOUT.match(x) for x in value.split()))
+            or (key in ("class", "id") and name not in ("html", "body", "article", "main") and any(_is_part(name, x, inside_article) for x in value.split()))
         ):
             return True
     return False
@@ -156,14 +179,7 @@ def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
     if any(article and weight for _, weight, article in lines):
         lines = [(text, weight if article else 0, article) for text, weight, article in lines]
-        marked = True
-    else:
-        marked = False
-    weights = [weight for _, weight, _ in lines]
-    spans = stretches(weights)
-    if not marked and spans:
-        longest = max(sum(weights[a:b]) for a, b in spans)
-        spans = [(a, b) for a, b in spans if sum(weights[a:b]) >= NEARLY * longest]
+    spans = stretches([weight for _, weight, _ in lines])
     return "\n".join(text for a, b in spans for text, weight, _ in lines[a:b] if weight)
 
 

@@ -51,3 +51,23 @@ def test_odd_table(spark):
     pages = spark.createDataFrame([(1, None, None, "t"), (1, None, None, "t"), (None, "u", "<p>x", "t")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, html_text(pages).collect()), key=str) == [(1, None, "", 0), (1, None, "", 0), (None, "u", "x", 1)]
     assert html_text(pages.limit(0)).count() == 0
+
+
+def test_attributes_are_whole():
+    for attributes in ('title="a hidden valley"', 'data-hidden="false"', 'data-id="comments"', "data-role=navigation", 'title=\'style="display:none"\'', "data-x='class=ads'"):
+        assert main_text(f"<article><p {attributes}>kept</p></article>") == "kept"
+    assert main_text('<article><p>one <a href="/wiki/Hidden_costs">two</a> <a href=/wiki/hidden>three</a></article>') == "one two three"
+    for attributes in ("hidden", "HIDDEN=''", 'aria-hidden="true"', "role = navigation", 'style="color:red; display: none"', 'title="x"hidden'):
+        assert main_text(f"<article><p {attributes}>gone</p><p>kept</article>") == "kept"
+
+
+def test_names_in_an_article():
+    inside = "<h2 id='social-impact'>a</h2><section id='related-work'><p>b</section><p class='share-price'>c</p><p class='notice'>d<h3 id='comments'>e</h3>"
+    assert main_text(f"<article>{inside}</article>") == main_text(f"<body>{inside.replace('comments', 'remarks').replace('notice', 'x')}</body>") == "a\nb\nc\nd\ne"
+    assert main_text("<article><p>a</p><div class='x ad'>b</div><ul class=menu><li>c</ul><section id=comments>d</section><p>e</article>") == "a\ne"
+    assert main_text("<div class='site-header'>a</div><div id=cookie-notice-2>b</div><div class='main-nav'>c</div><p>d") == "d"
+
+
+def test_short_stretches_without_article():
+    page = "<div><p>" + "long text " * 50 + "</div>" + "<nav>x</nav>" + "<p><a href=x>links only</a></p>" * 4 + "<div><p>short end</div>"
+    assert main_text(page) == ("long text " * 50).strip() + "\nshort end"
