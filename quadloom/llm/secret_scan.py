@@ -2,9 +2,10 @@
 
 Three fixed kinds by regular expressions (leftmost, without overlap), and one by entropy: candidates are maximal runs of
 token characters; over each one slides a window of WINDOW characters, whose Shannon entropy is kept up by counts (one
-character leaves, one enters). Each class has its threshold: hex digits only, or mixed case with digits. What all windows
-over the threshold cover, from the first to the last, is a span of kind entropy, unless the candidate is on the allow list
-or overlaps a span of the fixed kinds, which says the same already.
+character leaves, one enters). Each class has its threshold: hex digits of one case, mixed case with digits, lower or upper
+case with digits and nothing else, and letters of both cases alone. What spans of the fixed kinds and matches of the allow
+list leave of a candidate are its pieces, which are scanned one by one; what all of a piece's windows over the threshold
+cover, from the first to the last, is a span of kind entropy.
 
 Spans are positions in code points, end exclusive. Only texts in which a quick test finds a kind pay for its positions;
 nothing is shuffled.
@@ -29,10 +30,13 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"  # greedy: as long as AKIA[A-Z0-9]+ gets, and 16 o
 HEX = r"[0-9a-f]{32,}"
 ASSIGN_VALUE = 8
 
-#: Candidates of the entropy kind, the window, thresholds in bits of the two classes.
+#: Candidates of the entropy kind, the window, thresholds in bits of hex digits and of mixed case with digits.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 WINDOW, HEX_BITS, MIXED_BITS = 20, 3.05, 3.85
-#: Candidates that match one of these are known not to be secrets.
+#: Thresholds of lower case with digits, upper case with digits, and letters of both cases, of which each must come so often.
+#: Random windows have about 3.8 (36 characters), 3.7 (32) and 3.95 bits (52).
+LOWER_BITS, UPPER_BITS, LETTER_BITS, LETTER_CASES = 3.6, 3.5, 3.85, 5
+#: What matches one of these is known not to be a secret.
 ALLOWED = (
     r"(?i)example|sample|placeholder|changeme|your[_-]?(?:key|token|secret)|dummy",
     r"(?i)0123456789|1234567890|abcdefghij",
@@ -88,32 +92,56 @@ def _secret_part(value: Column) -> Column:
         return F.struct(
             (acc["at"] + 1).alias("at"), counts.alias("counts"), (acc["sum"] + added - dropped).alias("sum"),
             (acc["digits"] + within(1, 10)).alias("digits"), (acc["a_to_f"] + within(11, 16)).alias("a_to_f"),
-            (acc["lower"] + within(11, 36)).alias("lower"), (acc["upper"] + within(37, 62)).alias("upper"),
+            (acc["lower"] + within(11, 36)).alias("lower"), (acc["upper"] + within(37, 62)).alias("upper"), (acc["upper_a_to_f"] + within(37, 42)).alias("upper_a_to_f"),
             acc["first"].alias("first"), acc["last"].alias("last"),
         )
 
     def judged(acc: Column, x: Column) -> Column:
         now = step(acc, x)
         bits = math.log2(WINDOW) - now["sum"] / WINDOW
-        only_hex = (now["digits"] + now["a_to_f"] == WINDOW) & (now["digits"] > 0) & (now["a_to_f"] > 0)
-        mixed = (now["digits"] > 0) & (now["lower"] > 0) & (now["upper"] > 0)
-        over = (now["at"] >= WINDOW) & ((only_hex & (bits >= HEX_BITS)) | (mixed & (bits >= MIXED_BITS)))
+        some = lambda *names: F.least(*[now[n] for n in names]) > 0
+        only = lambda a, b: now[a] + now[b] == WINDOW
+        only_hex = (only("digits", "a_to_f") & some("digits", "a_to_f")) | (only("digits", "upper_a_to_f") & some("digits", "upper_a_to_f"))
+        classes = (
+            (only_hex & (bits >= HEX_BITS))
+            | (some("digits", "lower", "upper") & (bits >= MIXED_BITS))
+            | (only("digits", "lower") & some("digits", "lower") & (bits >= LOWER_BITS))
+            | (only("digits", "upper") & some("digits", "upper") & (bits >= UPPER_BITS))
+            | (only("lower", "upper") & (F.least(now["lower"], now["upper"]) >= LETTER_CASES) & (bits >= LETTER_BITS))
+        )
+        over = (now["at"] >= WINDOW) & classes
         begin = now["at"] - WINDOW
         return now.withField("first", F.when(now["first"].isNull() & over, begin).otherwise(now["first"])).withField("last", F.when(over, begin).otherwise(now["last"]))
 
     null, zero = F.lit(None).cast("int"), F.lit(0)
     start = F.struct(
-        zero.alias("at"), F.array_repeat(zero, len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), zero.alias("digits"), zero.alias("a_to_f"), zero.alias("lower"), zero.alias("upper"),
+        zero.alias("at"), F.array_repeat(zero, len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), zero.alias("digits"), zero.alias("a_to_f"), zero.alias("lower"), zero.alias("upper"), zero.alias("upper_a_to_f"),
         null.alias("first"), null.alias("last"),
     )
     return F.aggregate(steps, start, judged, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
+def _pieces(m: Column, base: Column) -> Column:
+    """Array of (start, text): what spans of base and matches of the allow list leave of a candidate, WINDOW characters at least."""
+    stop = m["start"] + F.length(m["match"])
+    known = [F.transform(F.filter(base, lambda b: (b["start"] < stop) & (b["stop"] > m["start"])), lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop")))]
+    for pattern in ALLOWED:
+        known.append(F.transform(_matches(m["match"], pattern), lambda x: F.struct((m["start"] + x["start"]).alias("start"), (m["start"] + x["start"] + F.length(x["match"])).alias("stop"))))
+    ends = F.concat(F.array_sort(F.concat(*known)), F.array(F.struct(stop.alias("start"), stop.alias("stop"))))
+    kind = "array<struct<start:int,text:string>>"
+
+    def step(acc: Column, b: Column) -> Column:
+        length = b["start"] - acc["at"]
+        piece = F.array(F.struct(acc["at"].alias("start"), F.substring(m["match"], acc["at"] - m["start"] + 1, length).alias("text")))
+        return F.struct(F.greatest(acc["at"], b["stop"]).alias("at"), F.when(length >= WINDOW, F.concat(acc["found"], piece)).otherwise(acc["found"]).alias("found"))
+
+    return F.aggregate(ends, F.struct(m["start"].alias("at"), F.array().cast(kind).alias("found")), step, lambda acc: acc["found"])
+
+
 def _entropy_spans(candidates: Column, base: Column) -> Column:
-    allowed = lambda m: F.array_max(F.array(*[m["match"].rlike(p) for p in ALLOWED]))
-    plain = lambda m: ~(m["match"].rlike("[0-9]") & m["match"].rlike("[A-Za-z]"))  # noqa: E731  neither class can have such a window
-    free = F.filter(candidates, lambda m: ~plain(m) & ~allowed(m) & ~F.exists(base, lambda b: (b["start"] < m["start"] + F.length(m["match"])) & (b["stop"] > m["start"])))
-    parts = F.transform(free, lambda m: F.struct(m["start"].alias("start"), _secret_part(m["match"]).alias("part")))
+    several = lambda p: sum((p["text"].rlike(c).cast("int") for c in ("[0-9]", "[a-z]", "[A-Z]")), F.lit(0)) >= 2  # noqa: E731  else no class can have such a window
+    pieces = F.filter(F.flatten(F.transform(candidates, lambda m: _pieces(m, base))), several)
+    parts = F.transform(pieces, lambda p: F.struct(p["start"].alias("start"), _secret_part(p["text"]).alias("part")))
     found = F.filter(parts, lambda p: p["part"]["first"].isNotNull())
     return F.transform(found, lambda p: F.struct((p["start"] + p["part"]["first"]).alias("start"), F.lit(3).alias("kind"), (p["start"] + p["part"]["last"] + WINDOW).alias("stop")))
 
