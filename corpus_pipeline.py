@@ -17,7 +17,7 @@ from quadloom.llm.source_mix import mixed_documents
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letter, or no text) go."""
+    """Documents without a language (no letter, no text, or neither a label nor n-grams of a learned language) go."""
     return keep_identified(docs)
 
 

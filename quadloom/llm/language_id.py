@@ -165,15 +165,25 @@ def language_id(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def has_language(model: LanguageFilter | None, text: str | None, labelled: bool) -> bool:
+    """Whether a text with a letter has n-grams of a learned language, beyond false positives, or at least a label.
+
+    Without learned languages nothing speaks against a text with a letter."""
+    if model is None:
+        return len(gram_hashes(text)) > 0
+    language, score = predict(model, text)
+    return language != "und" and (score > 0 or labelled)
+
+
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text has a language (und goes), with all columns of docs.
+    """The rows of docs whose text has a language (has_language), with all columns of docs.
 
     The text goes through Python once, together with a flag; no join puts rows together again."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs))
 
-    def flagged(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([predict(sent.value, t)[0] != "und" for t in batch])
+    def flagged(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, labelled in columns:
+            yield pd.Series([has_language(sent.value, t, x) for t, x in zip(texts, labelled, strict=True)], dtype=bool)
 
-    flagged.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.filter(F.pandas_udf(flagged, "boolean")(F.col("text").cast("string")))
+    flagged.__annotations__ = {"columns": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return docs.filter(F.pandas_udf(flagged, "boolean")(F.col("text").cast("string"), F.col("lang").isNotNull()))

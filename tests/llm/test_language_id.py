@@ -53,3 +53,16 @@ def test_many_languages(spark):
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "hello", None), (2, None, "en")], "doc_id long, text string, lang string")
     assert [r["lang_pred"] for r in language_id(docs).collect()] == ["und", "und"]
+
+
+def test_only_texts_with_a_language_are_kept(spark, none):
+    english = [(i, f"the quick brown fox number {'abcdefgh'[i % 8]} jumps over the lazy dog", "en") for i in range(30)]
+    others = [(100, "日本語の文章です", None), (101, "the lazy fox", None), (102, "12 !", "en"), (103, None, None), (None, "Это русский текст", None)]
+    schema = "doc_id long, text string, lang string"
+    kept = {r["doc_id"] for r in keep_identified(spark.createDataFrame(english + others, schema)).collect()}
+    assert kept == {*range(30), 101}
+    # Nothing was learned: no labels, or only on documents that are held out.
+    for lang, i in ((None, 1), ("en", 2)):
+        docs = spark.createDataFrame([(i, "hello", lang), (None, "日本語", None), (4, "12 34", None), (5, None, None)], schema)
+        assert train(docs) is None
+        assert {r["text"] for r in keep_identified(docs).collect()} == {"hello", "日本語"}
