@@ -24,6 +24,13 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"[^{SPACES}]+")).cast("long")
 
 
+def row_key(df: DataFrame) -> Column:
+    """Two 64-bit hashes of a whole row: rows with one key are copies of each other. Maps can't be hashed and don't count."""
+    names = [f"`{f.name}`" for f in df.schema if "map<" not in f.dataType.simpleString()]
+    nulls = F.concat(*[F.when(F.col(n).isNull(), "0").otherwise("1") for n in names])  # hashes pass over nulls
+    return F.struct(F.xxhash64(nulls, *names).alias("a"), F.xxhash64(F.lit("second"), nulls, *names).alias("b"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

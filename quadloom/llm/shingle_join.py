@@ -17,8 +17,10 @@ den * |A and B| >= num * |A or B|. The result has each document's component unde
    different components: those are enumerated inside tasks in square blocks, filtered by the sketch, verified, and
    components are taken again. So no link between different components is lost, and none inside one is needed.
 
-Defined cases: null or wordless text has an empty set, links with nothing and is its own component; repeated rows share
-a doc_id and give one row each; rows with a null doc_id are left out; an empty table gives an empty result; other columns
+Classes have numbers of their own inside, so rows that share a doc_id but not the text are not mixed up.
+
+Defined cases: null or wordless text has an empty set, links with nothing and is its own component; rows that share a
+doc_id give one row each, with the component of their own text; rows with a null doc_id are left out; an empty table gives an empty result; other columns
 are ignored, whatever their names.
 """
 
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, text_or_empty
@@ -113,8 +115,13 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def text_key():
+    """A text's hash, of 96 bits."""
+    return F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b"))
+
+
 def signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, set_hash, keys, sketch of every row with a doc_id."""
+    """doc_id, a, b (hashes of the text), n, set_hash, keys, sketch of every row with a doc_id."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(words)
@@ -123,12 +130,13 @@ def signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 part = batch.iloc[i : i + 500]
                 sets = [shingle(t) for t in part["text"]]
                 yield pd.DataFrame({
-                    "doc_id": part["doc_id"].to_numpy(), "n": [len(s) for s in sets], "set_hash": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+                    "doc_id": part["doc_id"].to_numpy(), "a": part["a"].to_numpy(), "b": part["b"].to_numpy(), "n": [len(s) for s in sets], "set_hash": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
                     "keys": [pigeonhole_keys(s, num, den).astype(np.int64) for s in sets], "sketch": [sketch(s) for s in sets],
                 })
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter("doc_id is not null")
-    return rows.mapInPandas(sign, "doc_id long, n long, set_hash binary, keys array<long>, sketch binary")
+    rows = rows.select("doc_id", "text", text_key().alias("key")).select("doc_id", "text", "key.a", "key.b")
+    return rows.mapInPandas(sign, "doc_id long, a long, b int, n long, set_hash binary, keys array<long>, sketch binary")
 
 
 def _distance(a: str, b: str):
@@ -147,12 +155,16 @@ class _Join:
         self.sets: DataFrame | None = None
 
     def run(self) -> DataFrame:
-        """doc_id, n_shingles, component_id, one row per row with a doc_id."""
+        """doc_id, a, b, set_hash, n_shingles, component_id, stands (is of the component's first class and id), one row per row with a doc_id."""
         scratch = self.scratch
         signed = scratch.table(signatures(self.docs, self.words, self.num, self.den), "signed")
-        class_of = signed.filter("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("id"))
+        # A class's number is its smallest doc_id; of classes that share it, the others have a hash.
+        class_of = signed.filter("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("first"))
+        place = F.row_number().over(Window.partitionBy("first").orderBy("set_hash"))
+        class_of = class_of.withColumn("id", F.when(place == 1, F.col("first")).otherwise(F.xxhash64("first", "set_hash")))
+        class_of = self.class_of = scratch.table(class_of, "class_of")
         longs = F.transform(F.sequence(F.lit(0), F.lit(SKETCH_BITS // 64 - 1)), lambda i: F.conv(F.hex(F.substring("sketch", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
-        same = (signed["set_hash"] == class_of["set_hash"]) & (signed["doc_id"] == class_of["id"])
+        same = (signed["set_hash"] == class_of["set_hash"]) & (signed["doc_id"] == class_of["first"])
         classes = scratch.table(signed.join(class_of, same).select("id", "n", "keys", longs.alias("bits")).dropDuplicates(["id"]), "classes")
 
         rows = classes.select("id", F.explode("keys").alias("key"))
@@ -173,9 +185,12 @@ class _Join:
             links = scratch.table(links.unionByName(self.verified(left, None)), "links3")
             parts = connected_components(links, scratch, "parts3")
 
-        named = class_of.join(parts, class_of["id"] == parts["node"], "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
-        found = signed.select("doc_id", F.col("n").alias("n_shingles"), "set_hash").join(named, "set_hash", "left")
-        return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        placed = class_of.join(parts, class_of["id"] == parts["node"], "left").select("set_hash", "first", F.coalesce("component", "id").alias("part"))
+        firsts = placed.groupBy("part").agg(F.min(F.struct("first", "set_hash")).alias("of"))
+        named = placed.select("set_hash", "part").join(firsts, "part").select("set_hash", "of")
+        found = signed.select("doc_id", "a", "b", F.col("n").alias("n_shingles"), "set_hash").join(named, "set_hash", "left")
+        stands = F.coalesce((F.col("doc_id") == F.col("of.first")) & (F.col("set_hash") == F.col("of.set_hash")), F.lit(True))
+        return found.select("doc_id", "a", "b", "set_hash", "n_shingles", F.coalesce("of.first", "doc_id").alias("component_id"), stands.alias("stands"))
 
     def filtered(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """Pairs (a, b) that sizes and sketches allow, with their distance."""
@@ -209,10 +224,13 @@ class _Join:
             for batch in batches:
                 for i in range(0, len(batch), 500):
                     part = batch.iloc[i : i + 500]
-                    yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "shingles": [shingle(t).astype(np.int64) for t in part["text"]]})
+                    made = [shingle(t) for t in part["text"]]
+                    mine = [xxhash.xxh3_128_digest(x.tobytes()) == bytes(h) for x, h in zip(made, part["set_hash"], strict=True)]  # not another text's of that doc_id
+                    yield pd.DataFrame({"id": part["id"].to_numpy(), "shingles": [x.astype(np.int64) for x in made]})[mine]
 
+        ids = self.class_of.join(ids, "id", "left_semi").select("id", "first", "set_hash")
         rows = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-        wanted = rows.join(ids, rows["doc_id"] == ids["id"], "left_semi").mapInPandas(sets, "id long, shingles array<long>").dropDuplicates(["id"])
+        wanted = rows.join(ids, rows["doc_id"] == ids["first"]).select("id", "set_hash", "text").mapInPandas(sets, "id long, shingles array<long>").dropDuplicates(["id"])
         self.made = getattr(self, "made", 0) + 1
         return self.scratch.table(wanted, f"sets{self.made}")
 
@@ -280,11 +298,19 @@ def shingle_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     """One row per row of docs with a doc_id: doc_id, n_shingles, component_id. Links need num/den of Jaccard similarity."""
     if not 0 < num <= den:
         raise ValueError("the similarity must be over 0 and at most 1")
-    return _Join(docs, words, num, den).run()
+    found = _Join(docs, words, num, den).run()
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def keep_representatives(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs that are the first of their component (rows without words or doc_id stay), with all columns."""
-    found = shingle_join(docs, words, num, den).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    firsts = docs.join(found, docs["doc_id"].cast("long") == found["__kept"], "left_semi").dropDuplicates(["doc_id"])
+    """The rows of docs that are the first of their component (rows without words or doc_id stay), with all columns.
+
+    Rows count once if they share doc_id and text."""
+    found = _Join(docs, words, num, den).run().filter("stands")
+    text = F.when(F.col("n_shingles") == 0, F.struct("a", "b"))  # wordless rows are all kept; of a set's texts the first is
+    found = found.groupBy("doc_id", "set_hash", text.alias("each")).agg(F.min(F.struct("a", "b")).alias("text"))
+    found = found.select(F.col("doc_id").alias("__kept"), F.col("text.a").alias("__of_a"), F.col("text.b").alias("__of_b")).distinct()
+    keyed = docs.withColumn("__a", F.xxhash64(text_or_empty())).withColumn("__b", F.hash(text_or_empty()))
+    same = (keyed["doc_id"].cast("long") == found["__kept"]) & (keyed["__a"] == found["__of_a"]) & (keyed["__b"] == found["__of_b"])
+    firsts = keyed.join(found, same, "left_semi").dropDuplicates(["doc_id", "__a", "__b"]).drop("__a", "__b")
     return firsts.unionByName(docs.filter("doc_id is null"))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, text_or_empty, word_count
+from .common import SPACES, Scratch, row_key, text_or_empty, word_count
 
 #: Words of a block, slots of an output shard, documents of a chunk (about), rounds of the shuffle.
 BLOCK_WORDS, SHARD_SLOTS, CHUNK_DOCS, ROUNDS = 32, 16_384, 2_048, 10
@@ -68,11 +68,14 @@ def shuffled(x: Column, n: Column, *seeds: Column) -> Column:
 
 
 class Mix:
-    """The parts of one mix. documents: doc_id, source, sid, size, source_size, target, start (place in the stream)."""
+    """The parts of one mix. documents: doc_id, source, sid, size, source_size, target, start (place in the stream).
 
-    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST):
+    key: a column of docs (a struct of two longs) that documents keep and that orders rows with one doc_id."""
+
+    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, key: str | None = None):
+        self.keys = keys = [key] if key else []
         self.scratch = Scratch(docs.sparkSession, "source_mix")
-        sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_or_empty()).alias("size"))
+        sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_or_empty()).alias("size"), *keys)
         sized = self.scratch.table(sized, "sized")
         chunks = max(1, sized.count() // CHUNK_DOCS)
         targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
@@ -81,11 +84,11 @@ class Mix:
         self.sources = self.scratch.table(targets.withColumn("blocks", blocks).withColumn("slots", F.when(F.col("blocks") > 0, slots).otherwise(F.lit(0).cast("long"))), "sources")
 
         known = sized.join(self.sources.select(F.col("source").alias("s"), "sid", "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-        known = known.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+        known = known.withColumn("chunk", F.pmod(F.xxhash64("doc_id", *[F.when(F.col("doc_id").isNull(), F.col(k)) for k in keys]), F.lit(chunks)))
         sums = known.groupBy("sid", "chunk").agg(F.sum("size").alias("words"))
         upto = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         bases = sums.select("sid", "chunk", F.coalesce(F.sum("words").over(upto), F.lit(0).cast("long")).alias("base"))
-        within = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+        within = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, -1)
         placed = known.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0).cast("long"))).join(bases, ["sid", "chunk"])
         self.documents = self.scratch.table(placed.withColumn("start", F.col("base") + F.col("within")).drop("base", "within", "chunk"), "documents")
 
@@ -122,9 +125,9 @@ class Mix:
         return slots.select("shard", F.xxhash64(F.lit(SEED), "sid", "j").alias("slot"), "sid", "epoch", block.alias("block"))
 
     def pieces(self) -> DataFrame:
-        """The mix with what its blocks hold: shard, slot, sid, epoch, block, doc_id, start, size, first (word), words."""
+        """The mix with what its blocks hold: shard, slot, sid, epoch, block, doc_id, start, size, first (word), words, and the key."""
         length = F.lit(BLOCK_WORDS).cast("long")
-        held = self.documents.filter("size > 0").select("sid", "doc_id", "start", "size")
+        held = self.documents.filter("size > 0").select("sid", "doc_id", "start", "size", *self.keys)
         end = F.col("start") + F.col("size")
         held = held.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((end - 1) / length))))
         first = F.greatest(F.lit(0).cast("long"), F.col("block") * length - F.col("start"))
@@ -146,12 +149,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents with the columns of docs: a row for each epoch in which a document is taken.
 
     An epoch that takes all of a document's blocks gives its whole text, another one the words that are taken, in order.
-    Rows that repeat a doc_id count once; rows without a doc_id or without words are not in the mix."""
-    rows = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    mix = Mix(rows)
-    runs = mix.pieces().groupBy("doc_id", "epoch").agg(F.sum("words").alias("__taken"), F.max("size").alias("__size"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("__runs"))
-    runs = runs.select(F.col("doc_id").alias("__id"), "__taken", "__size", F.when(F.col("__taken") < F.col("__size"), F.col("__runs")).alias("__runs"))
-    taken = rows.join(runs, rows["doc_id"].cast("long") == runs["__id"])
+    Every row is a document of its own, whatever its doc_id, if it has one; rows without words are not in the mix."""
+    keyed = docs.withColumn("__key", row_key(docs))
+    mix = Mix(keyed, key="__key")
+    runs = mix.pieces().groupBy("__key", "sid", "start", "epoch").agg(F.sum("words").alias("__taken"), F.max("size").alias("__size"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("__runs"))
+    # Whole copies of a row share its key, and have a run each: one of them is joined with all of their runs.
+    rows = keyed.dropDuplicates(["__key"])
+    runs = runs.select(F.col("__key").alias("__of"), "__taken", "__size", F.when(F.col("__taken") < F.col("__size"), F.col("__runs")).alias("__runs"))
+    taken = rows.join(runs, rows["__key"] == runs["__of"])
     words = F.regexp_extract_all(F.col("text").cast("string"), F.lit(f"[^{SPACES}]+[{SPACES}]*"), F.lit(0))
     cut = F.aggregate(
         F.col("__runs"),

@@ -115,3 +115,17 @@ def test_components(spark):
         a, b = sorted((find(a), find(b)))
         parent[b] = a
     assert got == {x: find(x) for x in parent if any(x in p and p[0] != p[1] for p in links)}
+
+
+def test_one_id_with_several_texts(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(1, x), (5, x + " more"), (5, y), (5, y + " more"), (7, y + " end"), (5, z), (5, z), (5, ""), (5, None), (5, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for _ in range(2):
+        got = sorted(map(tuple, shingle_join(docs.repartition(3), 3, 80, 100).collect()))
+        assert got == [(1, 58, 1), (5, 0, 5), (5, 0, 5), (5, 0, 5), (5, 58, 5), (5, 58, 5), (5, 58, 5), (5, 59, 1), (5, 59, 5), (7, 59, 5)]
+    kept = [tuple(r) for r in keep_representatives(docs, 3, 80, 100).collect()]
+    assert len([r for r in kept if r[1] and r[1].strip()]) == 3  # the first of x, one of y, one of z
+    assert {r[0] for r in kept} == {1, 5}
+    assert (1, x) in kept
+    assert (5, z) in kept

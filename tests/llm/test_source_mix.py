@@ -96,3 +96,18 @@ def test_native(small, capsys):
     plan = capsys.readouterr().out
     assert "Python" not in plan
     assert "Cartesian" not in plan
+
+
+def test_no_row_goes_missing_by_its_id(spark):
+    rows = [(i % 3 if i % 4 else None, f"t{i} " * 64, "ab"[i % 2]) for i in range(40)]
+    docs = spark.createDataFrame(rows + rows[:2] + [(1, None, "a"), (None, " ", "b")], "doc_id long, text string, source string")
+    want = mixed_sizes(docs).groupBy("source").agg(F.sum("taken")).collect()
+    taken, seen = Counter(), Counter()
+    got = mixed_documents(docs).collect()
+    for r in got:
+        taken[r["source"]] += len(r["text"].split())
+        seen[r["doc_id"], r["text"].split()[0]] += len(r["text"].split())
+    assert taken == Counter(dict(map(tuple, want)))
+    assert {(i, t.split()[0]) for i, t, s in rows if s == "b"} <= set(seen)  # b is taken at least once
+    assert seen[rows[0][0], "t0"] > 2 * 2 * 60  # two copies, each taken twice, about
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixed_documents(docs.repartition(5)).collect()), key=str)
