@@ -3,7 +3,7 @@
 By url; by unique identifier; else by defining properties: a candidate has one equal value at least, and no defining
 property with values of its own that all differ. It needs all the types. The best one has most statements on the
 identifying properties, then the earliest creation, then the smallest uri. There is no cap on candidates. Blank nodes that
-refer to others wait until those are identified; cycles stay new."""
+refer to others wait until those are identified, however deep the references go; cycles stay new."""
 
 from __future__ import annotations
 
@@ -15,9 +15,6 @@ from ..plans.ontology import Ontology
 from ..session import cut_lineage
 from .mutate import renamed
 
-#: Rounds of references between blank nodes.
-MOST_ROUNDS = 16
-
 
 def by_value(rows: DataFrame, quads: DataFrame, p: str) -> DataFrame:
     """(from, to) of the blank nodes whose value of p a resource has."""
@@ -62,7 +59,7 @@ def identifier(ontology: Ontology, data_objects: tuple[str, ...] = (), unique: t
             found = found.unionByName(by_value(rows, quads, p).join(found, "from", "left_anti"))
         only_url = rows.filter(F.col("p") == TYPE).join(closed.filter(F.col("sup").isin(*data_objects, "")), F.col("o") == F.col("sub")).select("s").union(rows.filter(F.col("p") == URL).select("s")).distinct()
         rest = rows.filter(F.col("s").startswith("_:")).join(only_url, "s", "left_anti")
-        for _ in range(MOST_ROUNDS):
+        while True:  # each round but the last identifies a blank node at least
             now = renamed(rest.join(found.select(F.col("from").alias("s")), "s", "left_anti"), found)
             waiting = now.filter(F.col("o").startswith("_:")).select("s").distinct()
             new = cut_lineage(by_properties(now.join(waiting, "s", "left_anti"), quads, ontology))

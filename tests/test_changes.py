@@ -323,3 +323,11 @@ def test_candidates_with_few_and_with_many_values(spark, onto, start):
     quads = start.unionByName(start.filter("s = 'res:/a' and p = 'nick'").withColumn("o", F.lit("an")))
     batch = rows(spark, ("_:1", TYPE, "Contact"), ("_:1", "fullname", "Ann"), ("_:1", "nick", "an"), ("_:2", TYPE, "Contact"), ("_:2", "nick", "none"))
     assert [tuple(r) for r in identify.by_properties(batch, quads, onto).collect()] == [("_:1", "res:/a")]
+
+
+def test_deep_references_are_identified(spark, onto, start):
+    deep = 17
+    facts_of = lambda name: [(name(0), TYPE, "Contact"), (name(0), "fullname", "N0")] + [x for i in range(1, deep) for x in ((name(i), TYPE, "Contact"), (name(i), "fullname", f"N{i}"), (name(i), "knows", name(i - 1)))]
+    known = M.complete(M.checked(rows(spark, *facts_of(lambda i: f"res:/n{i}")), onto), M.graph_of("app"))
+    found = identify.identifier(onto)(rows(spark, *facts_of(lambda i: f"_:{i}")), M.add(start.limit(0), known).quads.cache())
+    assert dict(map(tuple, found.collect())) == {f"_:{i}": f"res:/n{i}" for i in range(deep)}
