@@ -26,19 +26,24 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, text_or_empty
 from .components import connected_components
 
-#: Bits of the sketch that filters candidates; rows of one side of a block of left-over pairs; words a task remembers.
-SKETCH_BITS, BLOCK_ROWS, REMEMBERED = 1024, 1024, 1_000_000
+#: Bits of the sketch that filters candidates; rows of one side of a block of left-over pairs; words, and sets, that a task
+#: remembers; rows whose sets are made at a time.
+SKETCH_BITS, BLOCK_ROWS, REMEMBERED, BATCH_ROWS = 1024, 1024, 400_000, 500
+#: Bits of the map that spares keys which no two classes share the second shuffle. Past some tens of millions of shared keys
+#: it lets most keys through, which costs that shuffle and loses nothing.
+BITMAP_BITS = 1 << 26
 U = np.uint64
 
 
@@ -120,23 +125,73 @@ def text_key():
     return F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b"))
 
 
-def signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, a, b (hashes of the text), n, set_hash, keys, sketch of every row with a doc_id."""
+def _with_sets(rows: DataFrame, words: int, make: Callable[[pd.DataFrame, list[np.ndarray]], pd.DataFrame], schema: str) -> DataFrame:
+    """make(rows, the sets of their texts), a few hundred rows at a time."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(words)
         for batch in batches:
-            for i in range(0, len(batch), 500):
-                part = batch.iloc[i : i + 500]
-                sets = [shingle(t) for t in part["text"]]
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].to_numpy(), "a": part["a"].to_numpy(), "b": part["b"].to_numpy(), "n": [len(s) for s in sets], "set_hash": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                    "keys": [pigeonhole_keys(s, num, den).astype(np.int64) for s in sets], "sketch": [sketch(s) for s in sets],
-                })
+            for i in range(0, len(batch), BATCH_ROWS):
+                part = batch.iloc[i : i + BATCH_ROWS]
+                yield make(part, [shingle(t) for t in part["text"]])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter("doc_id is not null")
-    rows = rows.select("doc_id", "text", text_key().alias("key")).select("doc_id", "text", "key.a", "key.b")
-    return rows.mapInPandas(sign, "doc_id long, a long, b int, n long, set_hash binary, keys array<long>, sketch binary")
+    return rows.mapInPandas(run, schema)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter("doc_id is not null")
+
+
+def _set_hash(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
+def _mark(set_hash: bytes) -> int:
+    return int.from_bytes(set_hash[:8], "big", signed=True)
+
+
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, a, b (hashes of the text), n, set_hash, mark (a part of it), bits (the sketch) of every row with a doc_id."""
+
+    def sign(part: pd.DataFrame, sets: list[np.ndarray]) -> pd.DataFrame:
+        hashes = [_set_hash(s) for s in sets]
+        bits = [np.frombuffer(sketch(s), dtype=">i8").astype(np.int64) for s in sets]
+        return pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "a": part["a"].to_numpy(), "b": part["b"].to_numpy(), "n": [len(s) for s in sets], "set_hash": hashes, "mark": [_mark(h) for h in hashes], "bits": bits})
+
+    rows = _texts(docs).select("doc_id", "text", text_key().alias("key")).select("doc_id", "text", "key.a", "key.b")
+    return _with_sets(rows, words, sign, "doc_id long, a long, b int, n long, set_hash binary, mark long, bits array<long>")
+
+
+def key_rows(docs: DataFrame, words: int, num: int, den: int, bitmap: Broadcast | None = None) -> DataFrame:
+    """(key, mark) of the sets of docs; with a bitmap only the keys whose bit is set. A task gives a set's keys about once."""
+    seen: set[int] = set()
+
+    def keys(part: pd.DataFrame, sets: list[np.ndarray]) -> pd.DataFrame:
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        found, marks = [np.empty(0, dtype=U)], [np.empty(0, dtype=np.int64)]
+        for s in sets:
+            mark = _mark(_set_hash(s))
+            if len(s) and mark not in seen:
+                seen.add(mark)
+                own = pigeonhole_keys(s, num, den)
+                if bitmap is not None:
+                    slot = own & U(BITMAP_BITS - 1)
+                    own = own[(bitmap.value[(slot >> U(6)).astype(np.int64)] >> (slot & U(63))) & U(1) == 1]
+                found.append(own)
+                marks.append(np.full(len(own), mark))
+        return pd.DataFrame({"key": np.concatenate(found).view(np.int64), "mark": np.concatenate(marks)})
+
+    return _with_sets(_texts(docs).select("text"), words, keys, "key long, mark long")
+
+
+def _bitmap(keys: DataFrame) -> Broadcast:
+    """Bits of the keys' low ends: of BITMAP_BITS, whatever the number of keys. The driver gets a row for each 64 bits at most."""
+    word = F.shiftrightunsigned(F.col("key").bitwiseAND(BITMAP_BITS - 1), 6).alias("word")
+    rows = keys.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits")).toPandas()
+    bits = np.zeros(BITMAP_BITS // 64, dtype=U)
+    bits[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64).view(U)
+    return keys.sparkSession.sparkContext.broadcast(bits)
 
 
 def _distance(a: str, b: str):
@@ -157,19 +212,20 @@ class _Join:
     def run(self) -> DataFrame:
         """doc_id, a, b, set_hash, n_shingles, component_id, stands (is of the component's first class and id), one row per row with a doc_id."""
         scratch = self.scratch
-        signed = scratch.table(signatures(self.docs, self.words, self.num, self.den), "signed")
+        signed = self.signed = scratch.table(signatures(self.docs, self.words), "signed")
         # A class's number is its smallest doc_id; of classes that share it, the others have a hash.
-        class_of = signed.filter("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("first"))
+        sets = signed.filter("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("mark").alias("mark"), F.first("bits").alias("bits"))
         place = F.row_number().over(Window.partitionBy("first").orderBy("set_hash"))
-        class_of = class_of.withColumn("id", F.when(place == 1, F.col("first")).otherwise(F.xxhash64("first", "set_hash")))
-        class_of = self.class_of = scratch.table(class_of, "class_of")
-        longs = F.transform(F.sequence(F.lit(0), F.lit(SKETCH_BITS // 64 - 1)), lambda i: F.conv(F.hex(F.substring("sketch", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
-        same = (signed["set_hash"] == class_of["set_hash"]) & (signed["doc_id"] == class_of["first"])
-        classes = scratch.table(signed.join(class_of, same).select("id", "n", "keys", longs.alias("bits")).dropDuplicates(["id"]), "classes")
-
-        rows = classes.select("id", F.explode("keys").alias("key"))
-        shared = rows.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("size")).filter("size > 1")
-        held = scratch.table(rows.join(shared, "key"), "held")  # the classes of keys that two or more share
+        classes = self.classes = scratch.table(sets.withColumn("id", F.when(place == 1, F.col("first")).otherwise(F.xxhash64("first", "set_hash"))), "classes")
+
+        # Nearly all keys belong to one class. Keys are not stored: they are made twice, first to find those that several
+        # classes share (an aggregation, combined before its shuffle), then to get the members of these.
+        marks = key_rows(self.docs, self.words, self.num, self.den).groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
+        shared = scratch.table(marks.filter("low <> high").select("key"), "shared")
+        again = key_rows(self.docs, self.words, self.num, self.den, _bitmap(shared)).join(shared, "key", "left_semi").distinct()
+        members = scratch.table(again.join(classes.select("mark", "id"), "mark").select("key", "id"), "members")
+        sizes = members.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("size"))
+        held = scratch.table(members.join(sizes, "key"), "held")  # the classes of keys that two or more share
         stars = held.filter("id <> first").groupBy("first", "id").agg(F.count("*").alias("common")).select(F.col("first").alias("a"), F.col("id").alias("b"), "common")
         near = scratch.table(self.filtered(stars, classes), "near")
 
@@ -185,7 +241,7 @@ class _Join:
             links = scratch.table(links.unionByName(self.verified(left, None)), "links3")
             parts = connected_components(links, scratch, "parts3")
 
-        placed = class_of.join(parts, class_of["id"] == parts["node"], "left").select("set_hash", "first", F.coalesce("component", "id").alias("part"))
+        placed = classes.join(parts, classes["id"] == parts["node"], "left").select("set_hash", "first", F.coalesce("component", "id").alias("part"))
         firsts = placed.groupBy("part").agg(F.min(F.struct("first", "set_hash")).alias("of"))
         named = placed.select("set_hash", "part").join(firsts, "part").select("set_hash", "of")
         found = signed.select("doc_id", "a", "b", F.col("n").alias("n_shingles"), "set_hash").join(named, "set_hash", "left")
@@ -217,20 +273,14 @@ class _Join:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         if known is not None:
             ids = ids.join(known.select("id"), "id", "left_anti")
-        words = self.words
-
-        def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            shingle = Shingler(words)
-            for batch in batches:
-                for i in range(0, len(batch), 500):
-                    part = batch.iloc[i : i + 500]
-                    made = [shingle(t) for t in part["text"]]
-                    mine = [xxhash.xxh3_128_digest(x.tobytes()) == bytes(h) for x, h in zip(made, part["set_hash"], strict=True)]  # not another text's of that doc_id
-                    yield pd.DataFrame({"id": part["id"].to_numpy(), "shingles": [x.astype(np.int64) for x in made]})[mine]
-
-        ids = self.class_of.join(ids, "id", "left_semi").select("id", "first", "set_hash")
-        rows = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-        wanted = rows.join(ids, rows["doc_id"] == ids["first"]).select("id", "set_hash", "text").mapInPandas(sets, "id long, shingles array<long>").dropDuplicates(["id"])
+
+        def sets(part: pd.DataFrame, made: list[np.ndarray]) -> pd.DataFrame:
+            mine = [_set_hash(x) == bytes(h) for x, h in zip(made, part["set_hash"], strict=True)]  # not another text's of that doc_id
+            return pd.DataFrame({"id": part["id"].to_numpy(), "shingles": [x.astype(np.int64) for x in made]})[mine]
+
+        ids = self.classes.join(ids, "id", "left_semi").select("id", "first", "set_hash")
+        rows = _texts(self.docs)
+        wanted = _with_sets(rows.join(ids, rows["doc_id"] == ids["first"]).select("id", "set_hash", "text"), self.words, sets, "id long, shingles array<long>").dropDuplicates(["id"])
         self.made = getattr(self, "made", 0) + 1
         return self.scratch.table(wanted, f"sets{self.made}")
 
@@ -305,12 +355,18 @@ def shingle_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
 def keep_representatives(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs that are the first of their component (rows without words or doc_id stay), with all columns.
 
-    Rows count once if they share doc_id and text."""
-    found = _Join(docs, words, num, den).run().filter("stands")
+    Rows count once if they share doc_id and text. Texts are not shuffled unless many rows go: what goes, and what is there
+    several times, is joined with the rows, not what stays."""
+    join = _Join(docs, words, num, den)
+    found = join.run().filter("stands")
     text = F.when(F.col("n_shingles") == 0, F.struct("a", "b"))  # wordless rows are all kept; of a set's texts the first is
     found = found.groupBy("doc_id", "set_hash", text.alias("each")).agg(F.min(F.struct("a", "b")).alias("text"))
-    found = found.select(F.col("doc_id").alias("__kept"), F.col("text.a").alias("__of_a"), F.col("text.b").alias("__of_b")).distinct()
+    stay = found.select("doc_id", "text.a", "text.b").distinct().withColumn("stays", F.lit(True))
+    times = join.signed.groupBy("doc_id", "a", "b").agg(F.count("*").alias("times"))
+    others = times.join(stay, ["doc_id", "a", "b"], "left").filter("stays is null or times > 1")
+    others = join.scratch.table(others.select(F.col("doc_id").alias("__id"), F.col("a").alias("__of_a"), F.col("b").alias("__of_b"), "stays"), "others")
     keyed = docs.withColumn("__a", F.xxhash64(text_or_empty())).withColumn("__b", F.hash(text_or_empty()))
-    same = (keyed["doc_id"].cast("long") == found["__kept"]) & (keyed["__a"] == found["__of_a"]) & (keyed["__b"] == found["__of_b"])
-    firsts = keyed.join(found, same, "left_semi").dropDuplicates(["doc_id", "__a", "__b"]).drop("__a", "__b")
-    return firsts.unionByName(docs.filter("doc_id is null"))
+    same = (keyed["doc_id"].cast("long") == others["__id"]) & (keyed["__a"] == others["__of_a"]) & (keyed["__b"] == others["__of_b"])
+    single = keyed.join(others, same, "left_anti")
+    several = keyed.join(others.filter("stays"), same, "left_semi").dropDuplicates(["doc_id", "__a", "__b"])
+    return single.unionByName(several).drop("__a", "__b")
