@@ -101,7 +101,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageFilter | N
     number = {x: i for i, x in enumerate(languages)}
     spark = docs.sparkSession
     table = spark.createDataFrame([(x, i, min(1.0, sample_docs / counts[x])) for x, i in number.items()], "lang string, language int, share double")
-    picked = usable.join(F.broadcast(table), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    picked = usable.join(table, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -119,9 +119,9 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageFilter | N
 
     # A language with a single document keeps what that one holds.
     least = F.when(F.col("language").isin([i for x, i in number.items() if counts[x] < 2 * MIN_DOCS]), 1).otherwise(MIN_DOCS)
-    filled = dfs.filter(F.col("docs") >= least).mapInPandas(slots, "word int, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+    filled = dfs.filter(F.col("docs") >= least).mapInPandas(slots, "word int, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # no Python object a row
     masks = np.zeros((-(-len(languages) // 64), SLOTS), dtype=U)
-    masks[filled["word"].to_numpy(dtype=np.int64), filled["slot"].to_numpy(dtype=np.int64)] = filled["mask"].to_numpy(dtype=np.int64).view(U)
+    masks[filled["word"].to_numpy(), filled["slot"].to_numpy()] = filled["mask"].to_numpy().view(U)
     fill = np.array([np.count_nonzero(masks[i // 64] >> U(i % 64) & U(1)) for i in range(len(languages))]) / SLOTS
     return LanguageFilter(languages, masks.astype(np.uint8) if len(languages) <= 8 else masks, fill**HASHES)
 

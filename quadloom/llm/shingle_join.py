@@ -188,9 +188,9 @@ def key_rows(docs: DataFrame, words: int, num: int, den: int, bitmap: Broadcast
 def _bitmap(keys: DataFrame) -> Broadcast:
     """Bits of the keys' low ends: of BITMAP_BITS, whatever the number of keys. The driver gets a row for each 64 bits at most."""
     word = F.shiftrightunsigned(F.col("key").bitwiseAND(BITMAP_BITS - 1), 6).alias("word")
-    rows = keys.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits")).toPandas()
+    rows = keys.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits")).toArrow()  # no Python object a row
     bits = np.zeros(BITMAP_BITS // 64, dtype=U)
-    bits[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64).view(U)
+    bits[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(U)
     return keys.sparkSession.sparkContext.broadcast(bits)
 
 
