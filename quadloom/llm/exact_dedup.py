@@ -2,8 +2,8 @@
 
 1. Every text is normalised and digested (SHA-256) by built-in functions; from here on only 32-byte digests move.
 2. The distinct historical digests go into a minimal perfect hash, built in independent shards of bounded size
-   (hash, displace: each small bucket of keys gets the first displacement that puts its keys on free slots). A slot
-   holds the full digest, the locator (doc_id) of its winner and the number of historical copies.
+   (hash, displace: each small bucket of keys gets a seed and a shift that put its keys on free slots; seeds are tried
+   until one does, and every seed hashes whole digests anew, so distinct digests always find places). A slot holds the full digest, the locator (doc_id) of its winner and the number of historical copies.
 3. The distinct new digests are looked up: bucket -> displacement -> slot -> comparison of all 32 bytes. Members are
    repeats of the slot's winner; nonmembers are grouped among themselves.
 
@@ -17,8 +17,11 @@ their names.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +29,8 @@ from .common import SPACES, Scratch, text_or_empty
 
 #: Keys in a shard (about) and in a bucket (mean) of the minimal perfect hash.
 SHARD_KEYS, BUCKET_KEYS = 16_384, 4
-#: A digest's 32-bit words: 0 picks the shard, 1 the bucket, 2+r and 3+r the slot under retry r.
-RETRIES = 4
+#: A digest's 32-bit words: 0 picks the shard, 1 the bucket. A hash of seed and digest picks the slot.
+SPARK_SEED = 42  # of Spark's xxhash64
 
 
 def text_digest(text: Column) -> Column:
@@ -36,23 +39,30 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.regexp_replace(text, odd_run, " "), 256))
 
 
-def _word(i: int | Column) -> Column:
-    at = F.lit(i) if isinstance(i, int) else i
-    return F.conv(F.hex(F.substring(F.col("digest"), at * 4 + 1, F.lit(4))), 16, 10).cast("long")
+def _word(i: int) -> Column:
+    return F.conv(F.hex(F.substring(F.col("digest"), F.lit(i * 4 + 1), F.lit(4))), 16, 10).cast("long")
+
 
+def hashed(seed: int, digests: list[bytes]) -> np.ndarray:
+    """Spark's xxhash64(seed, digest) of each digest."""
+    state = xxhash.xxh64_intdigest(int(seed).to_bytes(8, "little"), SPARK_SEED)
+    return np.array([xxhash.xxh64_intdigest(d, state) for d in digests], dtype=np.uint64).view(np.int64)
 
-def displace(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, retry, d0, d1 and slot of each distinct digest (rows of eight 32-bit words); slots are 0 .. n-1."""
+
+def displace(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket, seed, shift and slot of each distinct digest; slots are 0 .. n-1."""
     n = len(digests)
-    bucket = digests[:, 1] % max(1, -(-n // BUCKET_KEYS))
+    words = np.array([int.from_bytes(d[4:8], "big") for d in digests], dtype=np.int64)
+    bucket = words % max(1, -(-n // BUCKET_KEYS))
     order = np.argsort(bucket, kind="stable")
     starts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if n else np.array([], dtype=int)
     groups = sorted(np.split(order, starts[1:]), key=len, reverse=True) if n else []
     taken = np.zeros(2 * n, dtype=bool)  # twice in a row, so that a shift is a slice
-    retry, d0, d1, slot = (np.zeros(n, dtype=np.int64) for _ in range(4))
+    seeds, shifts, slot = (np.zeros(n, dtype=np.int64) for _ in range(3))
     for keys in groups:
-        for r, turn in ((r, turn) for turn in range(n) for r in range(RETRIES)):
-            at = (digests[keys, 2 + r] % n + turn * (digests[keys, 3 + r] % n)) % n
+        own = [digests[k] for k in keys]
+        for seed in count():
+            at = hashed(seed, own) % n
             if len(np.unique(at)) < len(keys):
                 continue
             blocked = taken[at[0] : at[0] + n].copy()
@@ -61,24 +71,21 @@ def displace(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
             shift = int(np.argmin(blocked))
             if not blocked[shift]:
                 break
-        else:
-            raise RuntimeError("two digests agree in all words that pick a slot")
-        retry[keys], d0[keys], d1[keys] = r, turn, shift
+        seeds[keys], shifts[keys] = seed, shift
         slot[keys] = at = (at + shift) % n
         taken[at] = taken[at + n] = True
-    return bucket, retry, d0, d1, slot
+    return bucket, seeds, shifts, slot
 
 
 def _build_shard(rows: pd.DataFrame) -> pd.DataFrame:
-    words = np.frombuffer(b"".join(rows["digest"]), dtype=">u4").reshape(len(rows), 8).astype(np.int64)
-    bucket, retry, d0, d1, slot = displace(words)
-    return rows.assign(bucket=bucket, retry=retry, d0=d0, d1=d1, slot=slot, size=len(rows))
+    bucket, seed, shift, slot = displace([bytes(d) for d in rows["digest"]])
+    return rows.assign(bucket=bucket, seed=seed, shift=shift, slot=slot, size=len(rows))
 
 
 def build_index(history: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     """The minimal perfect hash of history (distinct digest, keep_id, n) as a table, and its number of shards."""
     shards = max(1, -(-history.count() // SHARD_KEYS))
-    schema = "digest binary, keep_id long, n long, shard long, bucket long, retry long, d0 long, d1 long, slot long, size long"
+    schema = "digest binary, keep_id long, n long, shard long, bucket long, seed long, shift long, slot long, size long"
     built = history.select("digest", "keep_id", "n", (_word(0) % shards).alias("shard")).groupBy("shard").applyInPandas(_build_shard, schema)
     return scratch.table(built, "index"), shards
 
@@ -86,9 +93,9 @@ def build_index(history: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
 def look_up(digests: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     """Adds shard, slot, winner to rows with distinct digests; winner is null (and found false) for nonmembers."""
     sizes = index.groupBy("shard").agg(F.first("size").alias("size"))
-    buckets = index.select("shard", "bucket", "retry", "d0", "d1").distinct()
+    buckets = index.select("shard", "bucket", "seed", "shift").distinct()
     slots = index.select("shard", "slot", F.col("digest").alias("held"), F.col("keep_id").alias("winner"))
-    at = (_word(F.col("retry") + 2) % F.col("size") + F.col("d0") * (_word(F.col("retry") + 3) % F.col("size")) + F.col("d1")) % F.col("size")
+    at = (F.pmod(F.xxhash64("seed", "digest"), F.col("size")) + F.col("shift")) % F.col("size")
     return (
         digests.withColumn("shard", _word(0) % shards)
         .join(sizes, "shard", "left")
@@ -98,7 +105,7 @@ def look_up(digests: DataFrame, index: DataFrame, shards: int) -> DataFrame:
         .join(slots, ["shard", "slot"], "left")
         .withColumn("found", F.coalesce(F.col("held") == F.col("digest"), F.lit(False)))
         .withColumn("winner", F.when(F.col("found"), F.col("winner")))
-        .drop("held", "bucket", "retry", "d0", "d1", "size")
+        .drop("held", "bucket", "seed", "shift", "size")
     )
 
 
@@ -143,10 +150,18 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact dedup keeps, with all columns of docs."""
+    """The rows of docs that exact dedup keeps, with all columns of docs.
+
+    What goes, and what is there several times, is joined with the rows, not what stays: texts are not shuffled unless
+    many rows go."""
     scratch = Scratch(docs.sparkSession, "exact_dedup")
-    found = groups_of(digested(docs, None, scratch), scratch).select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
+    rows = digested(docs, None, scratch)
+    found = groups_of(rows, scratch).select("digest", "keep_id")
+    times = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("times")).join(found, "digest")
+    others = times.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("keep_id"))).filter("not stays or times > 1")
+    others = scratch.table(others.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__other"), "stays"), "others")
     marked = docs.withColumn("__digest", text_digest(text_or_empty()))
-    same = (marked["__digest"] == found["__digest"]) & marked["doc_id"].cast("long").eqNullSafe(found["__keep"])
-    kept = marked.join(found, same, "left_semi")
-    return kept.dropDuplicates(["__digest"]).drop("__digest")
+    same = (marked["__digest"] == others["__other"]) & marked["doc_id"].cast("long").eqNullSafe(others["__id"])
+    single = marked.join(others, same, "left_anti")
+    several = marked.join(others.filter("stays"), same, "left_semi").dropDuplicates(["__digest"])
+    return single.unionByName(several).drop("__digest")

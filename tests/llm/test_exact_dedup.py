@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from quadloom.llm.exact_dedup import displace, exact_dedup, keep_first
+from quadloom.llm.exact_dedup import displace, exact_dedup, hashed, keep_first
 
 
 def brute(rows):
@@ -48,12 +48,26 @@ def test_keep_first(odd):
 
 def test_perfect_hash():
     rng = np.random.default_rng(1)
-    for n in (1, 2, 3, 50, 5000):
-        digests = rng.integers(0, 1 << 32, (n, 8))
-        _, retry, d0, d1, slot = displace(digests)
-        assert sorted(slot) == list(range(n))
-        rows = np.arange(n)
-        assert ((digests[rows, 2 + retry] % n + d0 * (digests[rows, 3 + retry] % n) + d1) % n == slot).all()
+    for n, draws in [*((n, 20) for n in range(101)), (5000, 1)]:
+        for _ in range(draws):
+            digests = [bytes(d) for d in rng.integers(0, 256, (n, 32), dtype=np.uint8)]
+            _, seed, shift, slot = displace(digests)
+            assert sorted(slot) == list(range(n))
+            assert [(int(hashed(s, [d])[0]) % n + f) % n for s, d, f in zip(seed, digests, shift, strict=True)] == list(slot)
+
+
+def test_seeded_hash_is_that_of_the_lookup(spark):
+    digests = [hashlib.sha256(bytes([i])).digest() for i in range(20)]
+    rows = spark.createDataFrame([(s, d) for s in (0, 1, 77, 1 << 40) for d in digests], "seed long, digest binary")
+    for seed, digest, h in rows.selectExpr("seed", "digest", "xxhash64(seed, digest)").collect():
+        assert hashed(seed, [bytes(digest)])[0] == h
+
+
+def test_small_histories(spark):
+    for n in (*range(1, 14), 24, 40):
+        rows = [(i, f"text {n} {i % (n - n // 4)}") for i in range(n)]
+        got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
 def test_one_hot_digest(spark):
@@ -61,3 +75,10 @@ def test_one_hot_digest(spark):
     got = exact_dedup(docs)
     assert got.filter("kept").count() == 2001
     assert got.filter("group_size = 1000 and keep_id = 0").count() == 1000
+
+
+def test_rows_of_one_id(spark):
+    """Of whole copies one stays, and of texts that share an id each."""
+    rows = [(1, "a x"), (1, "a x"), (1, "a \tx"), (2, "a x"), (2, "b"), (2, "b"), (None, "c"), (None, "c"), (None, "a  x")]
+    kept = keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r[0] or 0, " ".join(r[1].split())) for r in kept) == [(0, "c"), (1, "a x"), (2, "b")]
