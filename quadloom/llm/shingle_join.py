@@ -150,48 +150,53 @@ def _mark(set_hash: bytes) -> int:
     return int.from_bytes(set_hash[:8], "big", signed=True)
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, a, b (hashes of the text), n, set_hash, mark (a part of it), bits (the sketch) of every row with a doc_id."""
+def signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """doc_id, a, b (hashes of the text), n, set_hash, mark (a part of it), bits (the sketch), keys of every row with a doc_id.
+
+    A task gives a set's keys about once: texts that repeat have none."""
+    seen: set[int] = set()
 
     def sign(part: pd.DataFrame, sets: list[np.ndarray]) -> pd.DataFrame:
         hashes = [_set_hash(s) for s in sets]
+        marks = [_mark(h) for h in hashes]
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        keys = []
+        for s, m in zip(sets, marks, strict=True):
+            keys.append(np.empty(0, dtype=np.int64) if m in seen else pigeonhole_keys(s, num, den).view(np.int64))
+            seen.add(m)
         bits = [np.frombuffer(sketch(s), dtype=">i8").astype(np.int64) for s in sets]
-        return pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "a": part["a"].to_numpy(), "b": part["b"].to_numpy(), "n": [len(s) for s in sets], "set_hash": hashes, "mark": [_mark(h) for h in hashes], "bits": bits})
+        return pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "a": part["a"].to_numpy(), "b": part["b"].to_numpy(), "n": [len(s) for s in sets], "set_hash": hashes, "mark": marks, "bits": bits, "keys": keys})
 
     rows = _texts(docs).select("doc_id", "text", text_key().alias("key")).select("doc_id", "text", "key.a", "key.b")
-    return _with_sets(rows, words, sign, "doc_id long, a long, b int, n long, set_hash binary, mark long, bits array<long>")
+    return _with_sets(rows, words, sign, "doc_id long, a long, b int, n long, set_hash binary, mark long, bits array<long>, keys array<long>")
 
 
-def key_rows(docs: DataFrame, words: int, num: int, den: int, bitmap: Broadcast | None = None) -> DataFrame:
-    """(key, mark) of the sets of docs; with a bitmap only the keys whose bit is set. A task gives a set's keys about once."""
-    seen: set[int] = set()
+def _in_map(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes & U(BITMAP_BITS - 1)
+    return (bitmap[(slot >> U(6)).astype(np.int64)] >> (slot & U(63))) & U(1) == 1
 
-    def keys(part: pd.DataFrame, sets: list[np.ndarray]) -> pd.DataFrame:
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        found, marks = [np.empty(0, dtype=U)], [np.empty(0, dtype=np.int64)]
-        for s in sets:
-            mark = _mark(_set_hash(s))
-            if len(s) and mark not in seen:
-                seen.add(mark)
-                own = pigeonhole_keys(s, num, den)
-                if bitmap is not None:
-                    slot = own & U(BITMAP_BITS - 1)
-                    own = own[(bitmap.value[(slot >> U(6)).astype(np.int64)] >> (slot & U(63))) & U(1) == 1]
-                found.append(own)
-                marks.append(np.full(len(own), mark))
-        return pd.DataFrame({"key": np.concatenate(found).view(np.int64), "mark": np.concatenate(marks)})
-
-    return _with_sets(_texts(docs).select("text"), words, keys, "key long, mark long")
-
-
-def _bitmap(keys: DataFrame) -> Broadcast:
-    """Bits of the keys' low ends: of BITMAP_BITS, whatever the number of keys. The driver gets a row for each 64 bits at most."""
-    word = F.shiftrightunsigned(F.col("key").bitwiseAND(BITMAP_BITS - 1), 6).alias("word")
-    rows = keys.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits")).toArrow()  # no Python object a row
+
+def _mapped_keys(signed: DataFrame, bitmap: Broadcast) -> DataFrame:
+    """(key, mark) of the keys whose bit is set."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            key = np.concatenate([np.empty(0, dtype=np.int64), *batch["keys"]])
+            of = np.repeat(batch["mark"].to_numpy(dtype=np.int64), batch["keys"].map(len).to_numpy(dtype=np.int64))
+            mapped = _in_map(bitmap.value, key.view(U))
+            yield pd.DataFrame({"key": key[mapped], "mark": of[mapped]})
+
+    return signed.select("mark", "keys").mapInPandas(keys, "key long, mark long")
+
+
+def _bitmap(hashes: DataFrame, name: str) -> Broadcast:
+    """Bits of the hashes' low ends: of BITMAP_BITS, whatever their number. The driver gets a row for each 64 bits at most."""
+    word = F.shiftrightunsigned(F.col(name).bitwiseAND(BITMAP_BITS - 1), 6).alias("word")
+    rows = hashes.groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({name} & 63 as int))")).alias("bits")).toArrow()  # no Python object a row
     bits = np.zeros(BITMAP_BITS // 64, dtype=U)
     bits[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(U)
-    return keys.sparkSession.sparkContext.broadcast(bits)
+    return hashes.sparkSession.sparkContext.broadcast(bits)
 
 
 def _distance(a: str, b: str):
@@ -212,17 +217,17 @@ class _Join:
     def run(self) -> DataFrame:
         """doc_id, a, b, set_hash, n_shingles, component_id, stands (is of the component's first class and id), one row per row with a doc_id."""
         scratch = self.scratch
-        signed = self.signed = scratch.table(signatures(self.docs, self.words), "signed")
+        signed = self.signed = scratch.table(signatures(self.docs, self.words, self.num, self.den), "signed")
         # A class's number is its smallest doc_id; of classes that share it, the others have a hash.
         sets = signed.filter("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("mark").alias("mark"), F.first("bits").alias("bits"))
         place = F.row_number().over(Window.partitionBy("first").orderBy("set_hash"))
         classes = self.classes = scratch.table(sets.withColumn("id", F.when(place == 1, F.col("first")).otherwise(F.xxhash64("first", "set_hash"))), "classes")
 
-        # Nearly all keys belong to one class. Keys are not stored: they are made twice, first to find those that several
-        # classes share (an aggregation, combined before its shuffle), then to get the members of these.
-        marks = key_rows(self.docs, self.words, self.num, self.den).groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
+        # Nearly all keys belong to one class. Those that several share are found by an aggregation, combined before its
+        # shuffle; only their rows, and few others, are shuffled again.
+        marks = signed.select(F.explode("keys").alias("key"), "mark").groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
         shared = scratch.table(marks.filter("low <> high").select("key"), "shared")
-        again = key_rows(self.docs, self.words, self.num, self.den, _bitmap(shared)).join(shared, "key", "left_semi").distinct()
+        again = _mapped_keys(signed, _bitmap(shared, "key")).join(shared, "key", "left_semi").distinct()
         members = scratch.table(again.join(classes.select("mark", "id"), "mark").select("key", "id"), "members")
         sizes = members.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("size"))
         held = scratch.table(members.join(sizes, "key"), "held")  # the classes of keys that two or more share
@@ -273,16 +278,24 @@ class _Join:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         if known is not None:
             ids = ids.join(known.select("id"), "id", "left_anti")
-
-        def sets(part: pd.DataFrame, made: list[np.ndarray]) -> pd.DataFrame:
-            mine = [_set_hash(x) == bytes(h) for x, h in zip(made, part["set_hash"], strict=True)]  # not another text's of that doc_id
-            return pd.DataFrame({"id": part["id"].to_numpy(), "shingles": [x.astype(np.int64) for x in made]})[mine]
-
-        ids = self.classes.join(ids, "id", "left_semi").select("id", "first", "set_hash")
-        rows = _texts(self.docs)
-        wanted = _with_sets(rows.join(ids, rows["doc_id"] == ids["first"]).select("id", "set_hash", "text"), self.words, sets, "id long, shingles array<long>").dropDuplicates(["id"])
         self.made = getattr(self, "made", 0) + 1
-        return self.scratch.table(wanted, f"sets{self.made}")
+        wanted = self.scratch.table(self.classes.join(ids, "id", "left_semi").select("id", "first", "set_hash", F.xxhash64("first").alias("hash")), f"wanted{self.made}")
+        bitmap, words = _bitmap(wanted, "hash"), self.words
+
+        def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shingle = Shingler(words)
+            for batch in batches:
+                batch = batch[_in_map(bitmap.value, batch["hash"].to_numpy(dtype=np.int64).view(U))]
+                for i in range(0, len(batch), BATCH_ROWS):
+                    part = batch.iloc[i : i + BATCH_ROWS]
+                    made = [shingle(t) for t in part["text"]]
+                    yield pd.DataFrame({"first": part["doc_id"].to_numpy(), "set_hash": [_set_hash(x) for x in made], "shingles": [x.astype(np.int64) for x in made]})
+
+        # Few texts are wanted: a map of bits picks them, and some others, where they are read; texts are not shuffled.
+        rows = _texts(self.docs).select("doc_id", "text", F.xxhash64("doc_id").alias("hash"))
+        found = rows.mapInPandas(sets, "first long, set_hash binary, shingles array<long>")
+        sets_ = found.join(wanted.select("id", "first", "set_hash"), ["first", "set_hash"]).select("id", "shingles").dropDuplicates(["id"])
+        return self.scratch.table(sets_, f"sets{self.made}")
 
     def across(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
         """The pairs whose sides are in different components."""
