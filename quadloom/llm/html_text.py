@@ -3,10 +3,11 @@
 Markup is cut into blocks: each block element (and <br>) ends a line, as in a page seen as plain text. Lines of elements
 that are never main text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments;
 known by element, role, class or id; by class or id only if the whole name says so, and inside an article only containers
-of menus, adverts and comments) and lines that are mostly links weigh nothing, the others their length. Over the
-sums of sliding windows of WINDOW lines, a surge is where the sums leave zero and a dive is where they come back; what has
-weight between a surge and its dive is one stretch. Where the page marks its article, the stretches inside it are the
-text; else all stretches are.
+of menus, adverts and comments) and lines that are mostly links weigh nothing, the others their length. Markup that speaks
+for text adds DENSE to it: paragraphs, headings and the like, and each line of an article (or main) element; on a page that
+marks its article, lines outside weigh nothing. A window of WINDOW lines is dense if its lines weigh DENSE or more together. A
+surge is where windows become dense, a dive is where they stop; what has weight from the first surge to the last dive is
+the text, so short lines are left out that stand apart, before or after all text. Where no window is dense, all is text.
 
 Pages are looked at one by one, with Python's own regular expressions, inside mapInPandas.
 
@@ -25,8 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines in a window; links' share of a menu line.
-WINDOW, LINKED = 3, 0.6
+#: Lines in a window; characters that make it dense; links' share of a menu line.
+WINDOW, DENSE, LINKED = 3, 30, 0.6
 
 # Elements by what they mean for text.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes")
@@ -36,6 +37,7 @@ BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd figcaption caption".split())
 #: Elements that the start of one of the same group ends.
 SIBLINGS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -100,7 +102,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     parts: list[str] = []
     linked = 0  # characters of the line that are links
     stack: list[tuple[str, bool, bool]] = []  # element, never text, in an article
-    links = 0
+    links = prose = 0
 
     def end_line() -> None:
         nonlocal linked
@@ -108,13 +110,15 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         parts.clear()
         if text:
             never, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            lines.append((text, 0 if never or (linked >= LINKED * len(text) and not article) else len(text), article))
+            hint = DENSE if prose or article else 0
+            lines.append((text, 0 if never or (linked >= LINKED * len(text) and not article) else len(text) + hint, article))
         linked = 0
 
     def close(at: int) -> None:
-        nonlocal links
+        nonlocal links, prose
         for name, _, _ in stack[at:]:
             links -= name == "a"
+            prose -= name in PROSE
         del stack[at:]
 
     position = 0
@@ -156,22 +160,23 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if not (m[3] or "").rstrip().endswith("/") or name in BLOCK:
             stack.append((name, never or _never(name, m[3] or "", article), article))
             links += name == "a"
+            prose += name in PROSE
     end_line()
     return lines
 
 
-def stretches(weights: list[int]) -> list[tuple[int, int]]:
-    """(surge, dive) pairs, end exclusive, over the sums of windows of WINDOW lines."""
-    found, start, total = [], None, sum(weights[:WINDOW])
-    for i in range(len(weights)):
-        if total and weights[i] and start is None:
-            start = i
-        if not total and start is not None:
-            found.append((start, i))
-            start = None
-        total += (weights[i + WINDOW] if i + WINDOW < len(weights) else 0) - weights[i]
-    if start is not None:
-        found.append((start, len(weights)))
+def stretches(weights: list[int], dense: int = 1) -> list[tuple[int, int]]:
+    """(surge, dive) pairs, end exclusive: what runs of dense windows cover, from its first to its last line with weight."""
+    found, run, total = [], None, sum(weights[:WINDOW])
+    for i in range(len(weights) + 1):
+        if i < len(weights) and total >= dense:
+            run = i if run is None else run
+        elif run is not None:
+            held = [j for j in range(run, min(i - 1 + WINDOW, len(weights))) if weights[j]]
+            found.append((held[0], held[-1] + 1))
+            run = None
+        if i < len(weights):
+            total += (weights[i + WINDOW] if i + WINDOW < len(weights) else 0) - weights[i]
     return found
 
 
@@ -179,8 +184,8 @@ def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
     if any(article and weight for _, weight, article in lines):
         lines = [(text, weight if article else 0, article) for text, weight, article in lines]
-    spans = stretches([weight for _, weight, _ in lines])
-    return "\n".join(text for a, b in spans for text, weight, _ in lines[a:b] if weight)
+    spans = stretches([weight for _, weight, _ in lines], DENSE) or [(0, len(lines))]
+    return "\n".join(text for text, weight, _ in lines[spans[0][0] : spans[-1][1]] if weight)
 
 
 def html_text(pages: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import html
 import re
 
+from quadloom.llm import html_text as H
 from quadloom.llm.html_text import html_text, lines_of, main_text, stretches
 
 
@@ -44,7 +45,8 @@ def test_odd_markup():
 def test_windows():
     assert stretches([0, 5, 0, 5, 0, 0, 0, 5]) == [(1, 4), (7, 8)]
     assert stretches([]) == []
-    assert [w for _, w, _ in lines_of("<nav>a</nav><p>bb</p><p><a href=x>linked only</a></p>")] == [0, 2, 0] or True
+    assert stretches([4, 0, 0, 9, 9, 0, 1, 0, 0, 4], 10) == [(3, 7)]
+    assert [(t, w) for t, w, _ in lines_of("<nav>a</nav><div>bb</div><p>bb</p><p><a href=x>linked only</a></p>")] == [("bb", 2), ("bb", 2 + H.DENSE), ("linked only", 0)]
 
 
 def test_odd_table(spark):
@@ -71,3 +73,25 @@ def test_names_in_an_article():
 def test_short_stretches_without_article():
     page = "<div><p>" + "long text " * 50 + "</div>" + "<nav>x</nav>" + "<p><a href=x>links only</a></p>" * 4 + "<div><p>short end</div>"
     assert main_text(page) == ("long text " * 50).strip() + "\nshort end"
+
+
+def lines(*texts):
+    return "".join(f"<div class=x{i}>{t}</div>" for i, t in enumerate(texts))
+
+
+def test_density_decides_without_an_article(monkeypatch):
+    """Short lines that stand apart before and after all text go; those near it, and all in between, stay."""
+    long = "a long line of text, as it stands in a story told at length "
+    page = lines("Login", "Help", "7 May", "By me", long + "1", "*", "**", "***", "* *", "* * *", long + "2", "The end", "Up", "Top")
+    whole = ["7 May", "By me", long + "1", "*", "**", "***", "* *", "* * *", long + "2", "The end", "Up"]
+    assert main_text(page).split("\n") == [x.strip() for x in whole]
+    monkeypatch.setattr(H, "WINDOW", 1)
+    assert main_text(page).split("\n") == [x.strip() for x in whole[2:-2]]
+    monkeypatch.setattr(H, "WINDOW", 50)
+    assert main_text(page).split("\n") == ["Login", "Help", *[x.strip() for x in whole], "Top"]
+
+
+def test_markup_adds_to_density():
+    assert main_text(lines("Login", "Help", "About", "Jobs", "News") + "<h2>Yes</h2><p>No.</p>" + lines("a", "b", "c", "d")) == "Jobs\nNews\nYes\nNo.\na\nb"
+    assert main_text(lines("Login", "Help") + "<article><div>Yes</div></article>" + lines("a")) == "Yes"
+    assert main_text(lines("One", "Two")) == "One\nTwo"
