@@ -17,6 +17,7 @@ an empty table gives an empty result; other columns are ignored, whatever their
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,10 +42,12 @@ ALLOWED = (
     r"(?i)example|sample|placeholder|changeme|your[_-]?(?:key|token|secret)|dummy",
     r"(?i)0123456789|1234567890|abcdefghij",
     r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"^[A-Za-z]+(?:[-_/][A-Za-z]+)+$",
-    r"(.)\1{7}",
+    r"^(?!.*[-_/]{2})(?=.*[-_/])[A-Za-z][A-Za-z_/-]*[A-Za-z]$",  # words, joined one by one: without a group that repeats, which Java matches by recursion
+    r"(.)\1{7,}+",
 )
 SPAN = "struct<start:int,kind:int,stop:int>"
+#: Items after which a walk starts a new array of what it finds.
+STRETCH = 256
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 
 
@@ -52,6 +55,24 @@ def _none() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
+def _stretches(items: Column) -> Column:
+    """The items, in arrays of STRETCH."""
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / STRETCH).cast("int")), lambda i: F.slice(all_, i * STRETCH + 1, F.lit(STRETCH)))
+    return F.element_at(F.transform(F.array(items), cut), 1)  # so that items are made once
+
+
+def _walk(items: Column, start: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """What step finds over items (one or more). It takes and gives (at, found), an int and an array.
+
+    An array that grows is copied by each item, so found starts anew for each stretch: very many items cost little more each."""
+
+    def stretch(acc: Column, part: Column) -> Column:
+        walked = F.aggregate(part, F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("found")), step)
+        return F.element_at(F.transform(F.array(walked), lambda w: F.struct(w["at"].alias("at"), F.concat(acc["found"], F.array(w["found"])).alias("found"))), 1)
+
+    return F.aggregate(_stretches(items), F.struct(start.alias("at"), F.array().cast(f"array<{kind}>").alias("found")), stretch, lambda acc: F.flatten(acc["found"]))
+
+
 def _matches(text: Column, pattern: str, group: int = 0) -> Column:
     """Array of (start, match, group) of the pattern's matches in text."""
     cut = F.arrays_zip(
@@ -65,8 +86,7 @@ def _matches(text: Column, pattern: str, group: int = 0) -> Column:
         found = F.when(x["match"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], one))
         return F.struct((start + F.coalesce(F.length(x["match"]), F.lit(0))).alias("at"), found.alias("found"))
 
-    walked = F.aggregate(cut, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found")), step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(kind))
+    return F.when(text.rlike(pattern), _walk(cut, F.lit(0), step, kind)).otherwise(F.array().cast(kind))
 
 
 def _spans(matches: Column, kind: int) -> Column:
@@ -121,26 +141,33 @@ def _secret_part(value: Column) -> Column:
     return F.aggregate(steps, start, judged, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
-def _pieces(m: Column, base: Column) -> Column:
-    """Array of (start, text): what spans of base and matches of the allow list leave of a candidate, WINDOW characters at least."""
+def _blocks(spans: Column) -> Column:
+    """Spans, in order of start, in arrays with the ends of each: a candidate looks at those that it meets only."""
+    block = lambda part: F.struct(part.alias("spans"), F.element_at(part, 1)["start"].alias("start"), F.array_max(F.transform(part, lambda x: x["stop"])).alias("stop"))
+    return F.when(F.size(spans) > 0, F.transform(_stretches(spans), block)).otherwise(F.array().cast(f"array<struct<spans:array<{SPAN}>,start:int,stop:int>>"))
+
+
+def _pieces(m: Column, blocks: Column) -> Column:
+    """Array of (start, text): what base spans (in blocks) and matches of the allow list leave of a candidate, WINDOW characters at least."""
     stop = m["start"] + F.length(m["match"])
-    known = [F.transform(F.filter(base, lambda b: (b["start"] < stop) & (b["stop"] > m["start"])), lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop")))]
+    meets = lambda b: (b["start"] < stop) & (b["stop"] > m["start"])
+    base = F.flatten(F.transform(F.filter(blocks, meets), lambda b: F.filter(b["spans"], meets)))
+    known = [F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop")))]
     for pattern in ALLOWED:
         known.append(F.transform(_matches(m["match"], pattern), lambda x: F.struct((m["start"] + x["start"]).alias("start"), (m["start"] + x["start"] + F.length(x["match"])).alias("stop"))))
     ends = F.concat(F.array_sort(F.concat(*known)), F.array(F.struct(stop.alias("start"), stop.alias("stop"))))
-    kind = "array<struct<start:int,text:string>>"
 
     def step(acc: Column, b: Column) -> Column:
         length = b["start"] - acc["at"]
         piece = F.array(F.struct(acc["at"].alias("start"), F.substring(m["match"], acc["at"] - m["start"] + 1, length).alias("text")))
         return F.struct(F.greatest(acc["at"], b["stop"]).alias("at"), F.when(length >= WINDOW, F.concat(acc["found"], piece)).otherwise(acc["found"]).alias("found"))
 
-    return F.aggregate(ends, F.struct(m["start"].alias("at"), F.array().cast(kind).alias("found")), step, lambda acc: acc["found"])
+    return _walk(ends, m["start"], step, "array<struct<start:int,text:string>>")
 
 
-def _entropy_spans(candidates: Column, base: Column) -> Column:
+def _entropy_spans(candidates: Column, blocks: Column) -> Column:
     several = lambda p: sum((p["text"].rlike(c).cast("int") for c in ("[0-9]", "[a-z]", "[A-Z]")), F.lit(0)) >= 2  # noqa: E731  else no class can have such a window
-    pieces = F.filter(F.flatten(F.transform(candidates, lambda m: _pieces(m, base))), several)
+    pieces = F.filter(F.flatten(F.transform(candidates, lambda m: _pieces(m, blocks))), several)
     parts = F.transform(pieces, lambda p: F.struct(p["start"].alias("start"), _secret_part(p["text"]).alias("part")))
     found = F.filter(parts, lambda p: p["part"]["first"].isNotNull())
     return F.transform(found, lambda p: F.struct((p["start"] + p["part"]["first"]).alias("start"), F.lit(3).alias("kind"), (p["start"] + p["part"]["last"] + WINDOW).alias("stop")))
@@ -154,8 +181,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("__text"))
     assigned = F.filter(_matches(text, ASSIGN, 2), lambda m: F.length(m["value"]) >= ASSIGN_VALUE)
     base = F.array_sort(F.concat(_spans(assigned, 0), _spans(_matches(text, ACCESS), 1), _spans(_matches(text, HEX), 2)))
-    found = rows.select("doc_id", base.alias("base"), _matches(text, CANDIDATE).alias("candidates"))
-    found = found.withColumn("entropy", F.when(F.size("candidates") > 0, _entropy_spans(F.col("candidates"), F.col("base"))).otherwise(_none()))
+    found = rows.select("doc_id", base.alias("base"), _matches(text, CANDIDATE).alias("candidates")).withColumn("blocks", _blocks(F.col("base")))
+    found = found.withColumn("entropy", F.when(F.size("candidates") > 0, _entropy_spans(F.col("candidates"), F.col("blocks"))).otherwise(_none()))
     return found.select("doc_id", "base", F.array_sort(F.concat("base", "entropy")).alias("spans"))
 
 

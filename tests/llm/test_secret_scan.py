@@ -97,3 +97,18 @@ BASE36, BASE32, UPPER_HEX, LETTERS, MIXED = "k3j9x0qz7w2m5v8t1b6rh4yp", "JBSWY3D
 )
 def test_classes_and_pieces(spark, text, want):
     assert S.secret_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"] == want
+
+
+def test_long_candidates(spark):
+    """Very many parts, repeats and matches in one text neither fail nor take long."""
+    key = "Zx9kQ2mP7rT4vW8yB3nL6"
+    texts = ["a-" * 100_000 + "a1", "a-" * 100_000 + "a", "x" * 500_000 + key, ("example" + key) * 3_000, "token=abcdefgh1 " * 50_000, f"{key} " * 3_000, f"token=abcdefgh1 {key} " * 3_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in S.secret_report(rows).collect()}
+    assert got[0]["spans"] == got[1]["spans"] == ""
+    assert got[2]["spans"] == f"entropy:500000:{500_000 + len(key)}"
+    assert got[3]["spans"].count("entropy") == 3_000
+    assert got[4]["n_assign"] == 50_000
+    assert got[4]["spans"].split(",")[-1] == f"assign:{16 * 49_999}:{16 * 49_999 + 15}"
+    assert got[5]["spans"].split(",") == [f"entropy:{i * 22}:{i * 22 + 21}" for i in range(3_000)]
+    assert got[6]["n_assign"] == got[6]["spans"].count("entropy") == 3_000
