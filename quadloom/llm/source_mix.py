@@ -5,10 +5,9 @@
    spread over as many tasks as it needs.
 2. A source's target is its weight's share of all words to take, at most MOST times its size; what is above goes to the
    others by weight. A target is so many slots, of one block each.
-3. Slots come in output shards of SHARD_SLOTS. Each shard draws its multinomial source counts with stratified uniforms
-   (one in each of SHARD_SLOTS equal strata of the unit interval, mapped through the cumulated shares), which has the
-   multinomial's expectations with less variance. Slots beyond a source's target are left out, missing ones make up one
-   last shard.
+3. Slots come in output shards of SHARD_SLOTS. Each slot of a shard draws a source with the sources' shares as chances, so a
+   shard's counts are a multinomial draw. A draw is a place on the line of all targets; the line is cut into BINS, so that a
+   draw meets the few sources of its bin. Slots beyond a source's target are left out, missing ones make up one last shard.
 4. A source's slot j takes block perm(j mod blocks) of epoch j div blocks. perm is a swap-or-not shuffle: a pseudorandom
    permutation of 0 .. blocks-1, for each source and epoch, that needs no table. So each block is taken equally often, but
    for one. Blocks and the documents in them are joined by index.
@@ -25,9 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, Scratch, row_key, text_or_empty, word_count
 
-#: Words of a block, slots of an output shard, documents of a chunk (about), rounds of the shuffle.
-BLOCK_WORDS, SHARD_SLOTS, CHUNK_DOCS, ROUNDS = 32, 16_384, 2_048, 10
-SEED = 20_240_601
+#: Words of a block, slots of an output shard, documents of a chunk (about), rounds of the shuffle, bins of the line of targets.
+BLOCK_WORDS, SHARD_SLOTS, CHUNK_DOCS, ROUNDS, BINS = 32, 16_384, 2_048, 10, 1_024
+SEED, LAST_SHARD = 20_240_601, (1 << 62)
 #: Weights of the sources in order, repeating; words to take, and words of a source to take at most, by its size.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 
@@ -52,11 +51,6 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return free.withColumn("target", F.coalesce(target, F.col("limit"))).select("source", "source_size", "sid", "target")
 
 
-def _unit(*seeds: Column) -> Column:
-    """Pseudorandom numbers in [0, 1)."""
-    return F.pmod(F.xxhash64(*seeds), F.lit(1 << 52)).cast("double") / float(1 << 52)
-
-
 def shuffled(x: Column, n: Column, *seeds: Column) -> Column:
     """Swap-or-not: the place of x under a permutation of 0 .. n-1 that the seeds choose."""
 
@@ -70,10 +64,12 @@ def shuffled(x: Column, n: Column, *seeds: Column) -> Column:
 class Mix:
     """The parts of one mix. documents: doc_id, source, sid, size, source_size, target, start (place in the stream).
 
-    key: a column of docs (a struct of two longs) that documents keep and that orders rows with one doc_id."""
+    key: a column of docs (a struct of two longs) that documents keep and that orders rows with one doc_id; else a hash of
+    the text does."""
 
     def __init__(self, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, key: str | None = None):
-        self.keys = keys = [key] if key else []
+        self.keys = keys = [key or "__text_hash"]
+        docs = docs if key else docs.withColumn("__text_hash", F.xxhash64(text_or_empty()))
         self.scratch = Scratch(docs.sparkSession, "source_mix")
         sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_or_empty()).alias("size"), *keys)
         sized = self.scratch.table(sized, "sized")
@@ -92,30 +88,32 @@ class Mix:
         placed = known.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0).cast("long"))).join(bases, ["sid", "chunk"])
         self.documents = self.scratch.table(placed.withColumn("start", F.col("base") + F.col("within")).drop("base", "within", "chunk"), "documents")
 
-    def slots(self) -> DataFrame:
-        """The mix: shard, slot (order in the shard), sid, epoch, block; a row a slot."""
-        total = F.sum("slots").over(Window.partitionBy())
+    def drawn(self) -> DataFrame:
+        """shard, sid, count: how many of a shard's slots drew a source."""
         upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        drawn = self.sources.select("sid", "slots", "blocks", total.alias("total"), (F.sum("slots").over(upto) / total).alias("high"))
-        drawn = drawn.withColumn("low", F.col("high") - F.col("slots") / F.col("total")).filter("slots > 0")
-        shards = F.ceil(F.col("total") / SHARD_SLOTS)
-        drawn = drawn.withColumn("shards", shards).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)))
+        line = self.sources.filter("slots > 0").select("sid", (F.sum("slots").over(upto) - F.col("slots")).alias("low"), F.sum("slots").over(upto).alias("high"))
+        total = line.agg(F.max("high").alias("total")).filter("total > 0").withColumn("bin_slots", F.ceil(F.col("total") / BINS))
+        in_bin = lambda place: F.floor(F.col(place) / F.col("bin_slots")).cast("long")
+        bins = line.crossJoin(total).withColumn("last", F.col("high") - 1).select("sid", "low", "high", F.explode(F.sequence(in_bin("low"), in_bin("last"))).alias("bin"))  # total: one row
+        shards = total.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("total") / SHARD_SLOTS) - 1)))
+        tasks = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         size = F.least(F.lit(SHARD_SLOTS).cast("long"), F.col("total") - F.col("shard") * SHARD_SLOTS)
+        draws = shards.repartition(tasks, "shard").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), size)))
+        draws = draws.withColumn("place", F.pmod(F.xxhash64(F.lit(SEED), F.lit("draw"), "shard", "i"), "total"))
+        met = draws.withColumn("bin", in_bin("place")).select("shard", "place", "bin").join(bins, "bin").filter("place >= low and place < high")
+        return met.groupBy("shard", "sid").agg(F.count("*").alias("count"))
 
-        def below(share: str) -> Column:
-            """How many of the shard's uniforms, one a stratum, are below the share."""
-            at = F.round(F.col(share) * size, 6)
-            whole = F.floor(at)
-            return whole + F.when(_unit(F.lit(SEED), F.col("shard"), whole) < at - whole, 1).otherwise(0)
-
-        counts = drawn.withColumn("count", below("high") - below("low"))
+    def slots(self) -> DataFrame:
+        """The mix: shard, slot (order in the shard), sid, epoch, block; a row a slot."""
+        counts = self.drawn()
         before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0).cast("long")))
-        counts = counts.withColumn("count", F.greatest(F.lit(0).cast("long"), F.least("count", F.col("slots") - F.col("first"))))
-        drawn_slots = F.sum("count").over(Window.partitionBy("sid"))
-        missing = counts.withColumn("drawn", drawn_slots).filter((F.col("shard") == 0) & (F.col("drawn") < F.col("slots")))
-        last = missing.select("sid", "blocks", F.col("shards").alias("shard"), F.col("drawn").alias("first"), (F.col("slots") - F.col("drawn")).alias("count"))
-        runs = counts.filter("count > 0").select("sid", "blocks", "shard", "first", "count").unionByName(last)
+        counts = counts.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0).cast("long"))).join(self.sources.select("sid", "slots", "blocks"), "sid")
+        counts = counts.withColumn("count", F.greatest(F.lit(0).cast("long"), F.least("count", F.col("slots") - F.col("first")))).filter("count > 0")
+        got = counts.groupBy(F.col("sid").alias("of")).agg(F.sum("count").alias("got"))
+        have = F.coalesce("got", F.lit(0).cast("long"))
+        missing = self.sources.join(got, F.col("sid") == F.col("of"), "left").filter(have < F.col("slots"))
+        last = missing.select("sid", "blocks", F.lit(LAST_SHARD).alias("shard"), have.alias("first"), (F.col("slots") - have).alias("count"))
+        runs = counts.select("sid", "blocks", "shard", "first", "count").unionByName(last)
         # A run of a shard's slots of one source holds SHARD_SLOTS at most, but for the last shard's. The few rows of runs become
         # all slots of the mix: they are dealt out first, to a fixed number of tasks.
         tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

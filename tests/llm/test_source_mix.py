@@ -111,3 +111,28 @@ def test_no_row_goes_missing_by_its_id(spark):
     assert {(i, t.split()[0]) for i, t, s in rows if s == "b"} <= set(seen)  # b is taken at least once
     assert seen[rows[0][0], "t0"] > 2 * 2 * 60  # two copies, each taken twice, about
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixed_documents(docs.repartition(5)).collect()), key=str)
+
+
+def test_draws_are_multinomial(spark, monkeypatch):
+    """Counts of a source over shards have a multinomial's mean and variance, and sum up to the shard's slots."""
+    monkeypatch.setattr("quadloom.llm.source_mix.SHARD_SLOTS", 100)
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('s', id % 3) as source", "repeat('w ', 160) as text")
+    mix = Mix(docs)
+    total = {r["sid"]: r["slots"] for r in mix.sources.collect()}
+    every = sum(total.values())
+    shards = -(-every // 100)
+    counts = Counter()
+    for r in mix.drawn().collect():
+        counts[r["shard"], r["sid"]] = r["count"]
+    full = [s for s in range(every // 100)]
+    assert all(sum(counts[s, i] for i in total) == 100 for s in full)
+    assert {s for s, _ in counts} == set(range(shards))
+    for i, n in total.items():
+        p = n / every
+        drawn = [counts[s, i] for s in full]
+        mean = sum(drawn) / len(drawn)
+        variance = sum((x - mean) ** 2 for x in drawn) / (len(drawn) - 1)
+        assert abs(mean - 100 * p) < 5 * (100 * p * (1 - p) / len(drawn)) ** 0.5
+        assert 0.7 < variance / (100 * p * (1 - p)) < 1.3
+    slots = Counter(r["sid"] for r in mix.slots().collect())
+    assert slots == total
