@@ -2,10 +2,12 @@
 
 Vectors are made of integers, floor(256 x). They are dealt to shards of about SHARD_VECTORS by a hash of their id; each
 shard is a ball tree (split at the median of the direction of largest spread) whose nodes hold centre and radius. For a query
-q a node can hold nothing over q.c + r|q|. Queries come in blocks of BLOCK_QUERIES. A first pass searches one shard with
-each block; the k-th score found there is what the second pass, over all other shards, starts from, and while a block
-goes through a shard, nodes are taken by descending bound and each query's k-th score, current across shards of a task and nodes,
-prunes. Only nodes whose bound is strictly under it are skipped, with a margin for rounding, so ties survive.
+q a node can hold nothing over q.c + r|q|. Queries come in blocks of BLOCK_QUERIES, which meet the shards in rounds: one shard
+each at first, then in each round as many as in all rounds before, and between rounds each query's current k-th score over
+all its shards so far is shared. A round starts with the roots: a block's visit to a shard whose root is under the k-th
+scores of all its queries is left out before trees are joined. Visits are dealt by shard, so a tree is read once for up to
+VISITS blocks; while a block goes through a tree, nodes are taken by descending bound and the k-th scores, which rise from
+node to node, prune. Only what is strictly under a k-th score is skipped, with a margin for rounding, so ties survive.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part; a query is compared with the vectors
 of its own length; of rows that share an id the smallest vector counts; an empty table gives an empty result; other columns
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Vectors of a shard (about), vectors of a leaf, queries of a block.
-SHARD_VECTORS, LEAF, BLOCK_QUERIES = 8_192, 64, 256
+#: Vectors of a shard (about), vectors of a leaf, queries of a block, blocks that a task takes through a tree, roots of a row.
+SHARD_VECTORS, LEAF, BLOCK_QUERIES, VISITS, ROOTS = 8_192, 64, 256, 64, 512
+LEAST = np.iinfo(np.int64).min
 EXACT = 2.0**53
 
 
@@ -97,13 +100,18 @@ def _descending(s: np.ndarray) -> np.ndarray:
     return ~s  # -s - 1: no overflow
 
 
+def bound(queries: np.ndarray, norms: np.ndarray, centre: np.ndarray, radius: float) -> np.ndarray:
+    """No inner product of a query with a vector of the ball is over this."""
+    exact = queries.astype(np.float64) @ centre + radius * norms
+    return exact + 1e-9 * (np.abs(exact) + radius * norms) + 1e-6
+
+
 def search(best: Best, tree: dict[str, np.ndarray], ids: np.ndarray, points: np.ndarray) -> None:
     """Take the tree's nodes by descending bound for the whole block; a node goes on with the queries that it may serve."""
     import heapq
 
     def bounds(node: int, rows: np.ndarray) -> np.ndarray:
-        exact = best.queries[rows].astype(np.float64) @ tree["centre"][node] + tree["radius"][node] * best.norms[rows]
-        return exact + 1e-9 * (np.abs(exact) + tree["radius"][node] * best.norms[rows]) + 1e-6
+        return bound(best.queries[rows], best.norms[rows], tree["centre"][node], tree["radius"][node])
 
     everyone = np.arange(len(best.ids))
     heap = [(-bounds(0, everyone).max(initial=0.0), 0, everyone)]
@@ -153,35 +161,77 @@ def top_k(embeddings: DataFrame, is_query: str, k: int) -> DataFrame:
 
     trees = scratch.table(packed(vectors, shards, "shard").mapInPandas(grow, flat.format(key="shard") + "".join(f", {n} binary" for n in names)), "trees")
     asking = scratch.table(packed(queries, blocks, "block").select("dim", "block", F.col("ids").alias("q_ids"), F.col("points").alias("q_points")), "asking")
+    as_array = lambda data, kind="<i8": np.frombuffer(data, dtype=kind)
 
-    def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def root(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples():
-                as_array = lambda data, kind="<i8": np.frombuffer(data, dtype=kind)
-                ids, points = as_array(row.ids), as_array(row.points).reshape(-1, row.dim)
-                tree = {n: as_array(getattr(row, n), "<f8" if n in ("centre", "radius") else "<i8") for n in names}
-                tree["centre"] = tree["centre"].reshape(-1, row.dim)
+            centres = [as_array(c, "<f8")[:d].tobytes() for c, d in zip(batch["centre"], batch["dim"], strict=True)]
+            yield pd.DataFrame({"dim": batch["dim"], "shard": batch["shard"], "middle": centres, "reach": [as_array(r, "<f8")[0] for r in batch["radius"]]})
+
+    roots = trees.select("dim", "shard", "centre", "radius").mapInPandas(root, "dim int, shard int, middle binary, reach double")
+    # Shards are numbered anew for each length of vectors, in an order of their own for each block: block + number modulo all.
+    numbered = roots.withColumn("number", F.row_number().over(Window.partitionBy("dim").orderBy("shard")) - 1)
+    group = F.floor(F.col("number") / ROOTS).cast("int").alias("part")
+    groups = scratch.table(numbered.groupBy("dim", group).agg(F.array_sort(F.collect_list(F.struct("number", "shard", "middle", "reach"))).alias("roots")), "roots")  # ROOTS at most
+    all_shards = groups.groupBy("dim").agg(F.sum(F.size("roots")).cast("int").alias("all"))
+
+    def visits_of(first: int, last: int):
+        """The shards first .. last-1 in a block's order that may serve one of its queries."""
+
+        def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for row in batch.itertuples():
+                    points = as_array(row.q_points).reshape(-1, row.dim)
+                    norms = np.sqrt((points.astype(np.float64) ** 2).sum(axis=1))
+                    floor = np.full(len(points), LEAST) if row.floor is None else as_array(row.floor)
+                    found = [
+                        r["shard"] for r in row.roots
+                        if first <= (r["number"] - row.block) % row.all < last and (bound(points, norms, as_array(r["middle"], "<f8"), r["reach"]) >= floor).any()
+                    ]
+                    yield pd.DataFrame({"dim": np.int32(row.dim), "block": np.int32(row.block), "shard": np.array(found, dtype=np.int32)})
+
+        return visit
+
+    def searched(visiting: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        """The best of one tree for each of the blocks."""
+        found = [pd.DataFrame({"dim": np.empty(0, np.int32), "block": np.empty(0, np.int32), "query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)})]
+        for of in trees.itertuples():
+            ids, points = as_array(of.ids), as_array(of.points).reshape(-1, of.dim)
+            tree = {n: as_array(getattr(of, n), "<f8" if n in ("centre", "radius") else "<i8") for n in names}
+            tree["centre"] = tree["centre"].reshape(-1, of.dim)
+            for row in visiting.itertuples():
                 best = Best(as_array(row.q_ids), as_array(row.q_points).reshape(-1, row.dim), k, None if row.floor is None else as_array(row.floor).copy())
                 search(best, tree, ids, points)
                 q, j = np.nonzero((best.vecs < np.iinfo(np.int64).max) & (best.scores >= best.floor[:, None]))
-                yield pd.DataFrame({"dim": row.dim, "block": row.block, "query_id": best.ids[q], "vec_id": best.vecs[q, j], "score": best.scores[q, j]})
-
-    found_schema = "dim int, block int, query_id long, vec_id long, score long"
-    sized = trees.select("dim", "shard").groupBy("dim").agg(F.sort_array(F.collect_list("shard")).alias("shards"))  # a number for each SHARD_VECTORS vectors
-    visits = asking.join(sized, "dim").withColumn("home", F.element_at("shards", F.col("block") % F.size("shards") + 1))
-    at_home = visits.withColumn("shard", F.col("home")).drop("shards").join(trees, ["dim", "shard"]).withColumn("floor", F.lit(None).cast("binary"))
-    first = scratch.table(at_home.mapInPandas(searched, found_schema), "first")
+                found.append(pd.DataFrame({"dim": np.int32(row.dim), "block": np.int32(row.block), "query_id": best.ids[q], "vec_id": best.vecs[q, j], "score": best.scores[q, j]}))
+        return pd.concat(found, ignore_index=True)
 
     def floors(part: pd.DataFrame) -> pd.DataFrame:
         """The k-th scores of a block's queries, in the block's order."""
         ids = np.frombuffer(part["q_ids"].iloc[0], dtype="<i8")
         known = {q: s for q, s, n in zip(part["query_id"], part["kth"], part["n"], strict=True) if n >= k}
-        least = np.iinfo(np.int64).min
-        return pd.DataFrame([{"dim": part["dim"].iloc[0], "block": part["block"].iloc[0], "floor": np.array([known.get(q, least) for q in ids], dtype="<i8").tobytes()}])
-
-    kth = first.groupBy("dim", "block", "query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n"))
-    floor = kth.join(asking.select("dim", "block", "q_ids"), ["dim", "block"]).groupBy("dim", "block").applyInPandas(floors, "dim int, block int, floor binary")
-    away = visits.join(floor, ["dim", "block"], "left").withColumn("shard", F.explode(F.filter("shards", lambda s: s != F.col("home")))).drop("shards").join(trees, ["dim", "shard"])
-    both = first.unionByName(away.mapInPandas(searched, found_schema))
+        return pd.DataFrame([{"dim": part["dim"].iloc[0], "block": part["block"].iloc[0], "floor": np.array([known.get(q, LEAST) for q in ids], dtype="<i8").tobytes()}])
+
+    most = all_shards.agg(F.max("all")).first()[0] or 0
+    order = Window.partitionBy("dim", "block", "query_id").orderBy(F.desc("score"), "vec_id")
+    schema = "dim int, block int, query_id long, vec_id long, score long"
+    best, done, round_ = spark.createDataFrame([], schema), 0, 0
+    while done < most:
+        upto = max(1, 2 * done)
+        if done:
+            kth = best.groupBy("dim", "block", "query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n"))
+            floor = kth.join(asking.select("dim", "block", "q_ids"), ["dim", "block"]).groupBy("dim", "block").applyInPandas(floors, "dim int, block int, floor binary")
+            now = scratch.table(asking.join(floor, ["dim", "block"], "left"), f"asking{round_}")
+        else:
+            now = asking.withColumn("floor", F.lit(None).cast("binary"))
+        visits = now.join(groups, "dim").join(all_shards, "dim").mapInPandas(visits_of(done, upto), "dim int, block int, shard int")
+        dealt = F.pmod(F.xxhash64("block"), F.lit(max(1, -(-blocks // VISITS)))).cast("int").alias("deal")
+        visits = scratch.table(visits.select("dim", "block", "shard", dealt), f"visits{round_}")
+        deals = visits.select(F.col("dim").alias("d"), F.col("shard").alias("s"), F.col("deal").alias("of")).distinct()
+        there = trees.join(deals, (trees["dim"] == deals["d"]) & (trees["shard"] == deals["s"])).drop("d", "s")
+        here = now.join(visits, ["dim", "block"])
+        got = here.groupBy("dim", "shard", "deal").cogroup(there.groupBy("dim", "shard", "of")).applyInPandas(searched, schema)
+        best = scratch.table(best.unionByName(got).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank"), f"best{round_}")
+        done, round_ = upto, round_ + 1
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

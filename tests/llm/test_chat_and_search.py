@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from quadloom.llm.ball_tree import Best, _products, build_tree, search, top_k
+from quadloom.llm.ball_tree import Best, _products, bound, build_tree, search, top_k
 from quadloom.llm.chat_format import chat_format
 
 
@@ -84,3 +84,25 @@ def test_tree_prunes_and_is_exact(scale):
         want = sorted((-int(s), i) for i, s in enumerate(products[n]) if i != q)[:5]
         assert [(-int(s), int(i)) for s, i in zip(best.scores[n], best.vecs[n], strict=True)] == want
     assert sum(asked) < 0.5 * len(queries) * len(points)
+
+
+def test_rounds_share_the_kth_score(spark, monkeypatch):
+    """Over several shards and lengths of vectors the result is exact."""
+    import quadloom.llm.ball_tree as B
+
+    monkeypatch.setattr(B, "SHARD_VECTORS", 60)
+    monkeypatch.setattr(B, "BLOCK_QUERIES", 8)
+    monkeypatch.setattr(B, "VISITS", 2)
+    monkeypatch.setattr(B, "ROOTS", 4)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.integers(-9, 10, 4 if i % 5 else 3) / 8]) for i in range(900)]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id % 10 = 0", 5)
+    assert sorted(map(tuple, got.collect())) == brute_search(rows, 10, 5)
+
+
+def test_bound_holds():
+    rng = np.random.default_rng(1)
+    points, queries = rng.integers(-300, 300, (200, 6)), rng.integers(-300, 300, (50, 6))
+    tree = build_tree(points)
+    norms = np.sqrt((queries.astype(float) ** 2).sum(axis=1))
+    assert (bound(queries, norms, tree["centre"][0], tree["radius"][0]) >= _products(queries, points).max(axis=1)).all()
