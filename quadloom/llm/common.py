@@ -31,6 +31,15 @@ def row_key(df: DataFrame) -> Column:
     return F.struct(F.xxhash64(nulls, *names).alias("a"), F.xxhash64(F.lit("second"), nulls, *names).alias("b"))
 
 
+#: Rows up to which a table is sent to all tasks.
+SMALL_ROWS = 200_000
+
+
+def sent_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df (of narrow rows), with a hint to send it whole if it has few rows; beyond that Spark chooses the join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

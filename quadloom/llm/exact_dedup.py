@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, text_or_empty
+from .common import SPACES, Scratch, sent_if_small, text_or_empty
 
 #: Keys in a shard (about) and in a bucket (mean) of the minimal perfect hash.
 SHARD_KEYS, BUCKET_KEYS = 16_384, 4
@@ -162,6 +162,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     others = scratch.table(others.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__other"), "stays"), "others")
     marked = docs.withColumn("__digest", text_digest(text_or_empty()))
     same = (marked["__digest"] == others["__other"]) & marked["doc_id"].cast("long").eqNullSafe(others["__id"])
-    single = marked.join(others, same, "left_anti")
-    several = marked.join(others.filter("stays"), same, "left_semi").dropDuplicates(["__digest"])
-    return single.unionByName(several).drop("__digest")
+    kept = marked.join(sent_if_small(others), same, "left_anti")
+    if not (several := others.filter("stays")).isEmpty():
+        kept = kept.unionByName(marked.join(sent_if_small(several), same, "left_semi").dropDuplicates(["__digest"]))
+    return kept.drop("__digest")

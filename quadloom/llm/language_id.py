@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sent_if_small
+
 #: n-gram lengths, training documents of a language (about), documents of a language that must hold an n-gram.
 GRAMS, SAMPLE_DOCS, MIN_DOCS = (2, 3, 4, 5), 600, 2
 #: Slots of the filters and hash functions.
@@ -101,7 +103,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageFilter | N
     number = {x: i for i, x in enumerate(languages)}
     spark = docs.sparkSession
     table = spark.createDataFrame([(x, i, min(1.0, sample_docs / counts[x])) for x, i in number.items()], "lang string, language int, share double")
-    picked = usable.join(table, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    picked = usable.join(sent_if_small(table), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

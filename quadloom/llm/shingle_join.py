@@ -35,7 +35,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, sent_if_small, text_or_empty
 from .components import connected_components
 
 #: Bits of the sketch that filters candidates; rows of one side of a block of left-over pairs; words, and sets, that a task
@@ -380,6 +380,7 @@ def keep_representatives(docs: DataFrame, words: int = 5, num: int = 80, den: in
     others = join.scratch.table(others.select(F.col("doc_id").alias("__id"), F.col("a").alias("__of_a"), F.col("b").alias("__of_b"), "stays"), "others")
     keyed = docs.withColumn("__a", F.xxhash64(text_or_empty())).withColumn("__b", F.hash(text_or_empty()))
     same = (keyed["doc_id"].cast("long") == others["__id"]) & (keyed["__a"] == others["__of_a"]) & (keyed["__b"] == others["__of_b"])
-    single = keyed.join(others, same, "left_anti")
-    several = keyed.join(others.filter("stays"), same, "left_semi").dropDuplicates(["doc_id", "__a", "__b"])
-    return single.unionByName(several).drop("__a", "__b")
+    kept = keyed.join(sent_if_small(others), same, "left_anti")
+    if not (several := others.filter("stays")).isEmpty():
+        kept = kept.unionByName(keyed.join(sent_if_small(several), same, "left_semi").dropDuplicates(["doc_id", "__a", "__b"]))
+    return kept.drop("__a", "__b")

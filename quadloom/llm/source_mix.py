@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, row_key, text_or_empty, word_count
+from .common import SPACES, Scratch, row_key, sent_if_small, text_or_empty, word_count
 
 #: Words of a block, slots of an output shard, documents of a chunk (about), rounds of the shuffle, bins of the line of targets.
 BLOCK_WORDS, SHARD_SLOTS, CHUNK_DOCS, ROUNDS, BINS = 32, 16_384, 2_048, 10, 1_024
@@ -100,7 +100,9 @@ class Mix:
         size = F.least(F.lit(SHARD_SLOTS).cast("long"), F.col("total") - F.col("shard") * SHARD_SLOTS)
         draws = shards.repartition(tasks, "shard").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), size)))
         draws = draws.withColumn("place", F.pmod(F.xxhash64(F.lit(SEED), F.lit("draw"), "shard", "i"), "total"))
-        met = draws.withColumn("bin", in_bin("place")).select("shard", "place", "bin").join(bins, "bin").filter("place >= low and place < high")
+        # The draws are many more than Spark expects, whom a sequence says nothing: they must not be the side that is sent.
+        draws = draws.withColumn("bin", in_bin("place")).select("shard", "place", "bin").hint("merge")
+        met = draws.join(sent_if_small(bins), "bin").filter("place >= low and place < high")
         return met.groupBy("shard", "sid").agg(F.count("*").alias("count"))
 
     def slots(self) -> DataFrame:
