@@ -10,19 +10,16 @@ from ..plans.ontology import Ontology
 from ..session import cut_lineage
 from .mutate import META, SUBRESOURCE, Changed, settled, touched
 
-MOST_ROUNDS = 64
 
-
-def reachable(start: DataFrame, edges: DataFrame, rounds: int = MOST_ROUNDS) -> DataFrame:
-    """s: what start (s) reaches over edges (s, o), itself included."""
+def reachable(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """s: what start (s) reaches over edges (s, o), itself included, however deep: each round but the last finds something new."""
     found = start.select("s").distinct()
     frontier = found
-    for _ in range(rounds):
+    while True:
         frontier = cut_lineage(frontier.join(edges, "s").select(F.col("o").alias("s")).distinct().join(found, "s", "left_anti"))
         if frontier.isEmpty():
             return found
         found = cut_lineage(found.unionByName(frontier))
-    raise RuntimeError("more rounds than expected")
 
 
 def subresources(quads: DataFrame, start: DataFrame, p: str = SUBRESOURCE) -> DataFrame:
@@ -33,13 +30,12 @@ def owned(quads: DataFrame, start: DataFrame, p: str = SUBRESOURCE) -> DataFrame
     """start and those of its sub-resources that nothing outside links to: the outside's links are taken off until none is left."""
     chosen = subresources(quads, start, p)
     links = quads.filter("o_kind = 'uri'").select(F.col("s").alias("from"), F.col("o").alias("s")).filter(F.col("from") != F.col("s"))
-    for _ in range(MOST_ROUNDS):
+    while True:  # each round but the last takes something off
         linked = links.join(chosen, "s", "left_semi").join(chosen.select(F.col("s").alias("from")), "from", "left_anti").select("s").distinct()
         outside = cut_lineage(linked.join(start.select("s"), "s", "left_anti"))
         if outside.isEmpty():
             return chosen
         chosen = cut_lineage(chosen.join(outside, "s", "left_anti"))
-    raise RuntimeError("more rounds than expected")
 
 
 def remove_resources(quads: DataFrame, resources: DataFrame, now: str, with_subresources: bool = False) -> Changed:

@@ -178,12 +178,12 @@ def resolve_urls(quads: DataFrame, names: DataFrame) -> DataFrame:
     return names.join(subjects, "name", "left").join(by_url, "name", "left").select("name", F.coalesce("same", "found", F.when(F.col("name").startswith(PREFIX), F.col("name"))).alias("s"))
 
 
-def reduce_duplicates(rows: DataFrame, rounds: int = 16) -> tuple[DataFrame, DataFrame]:
+def reduce_duplicates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Blank nodes (s like _:x) with the same properties become one; references follow, until nothing changes.
 
     Gives the rows and the mapping (old, new)."""
     names = rows.select(F.col("s").alias("old"), F.col("s").alias("new")).distinct()
-    for _ in range(rounds):
+    while True:  # each round but the last leaves fewer names
         sums = rows.filter(F.col("s").startswith("_:")).groupBy("s").agg(F.sha2(F.to_json(F.array_sort(F.collect_set(F.struct("p", "o")))), 256).alias("h"))
         mapping = sums.groupBy("h").agg(F.min("s").alias("to"), F.collect_list("s").alias("all")).filter(F.size("all") > 1).select(F.explode("all").alias("from"), "to").filter("from <> to")
         if mapping.isEmpty():
@@ -191,7 +191,6 @@ def reduce_duplicates(rows: DataFrame, rounds: int = 16) -> tuple[DataFrame, Dat
         rows = renamed(rows, mapping).distinct()
         names = names.join(mapping, names["new"] == mapping["from"], "left").select("old", F.coalesce("to", "new").alias("new"))
         rows, names = cut_lineage(rows), cut_lineage(names)
-    raise RuntimeError("duplicates did not settle")
 
 
 def renamed(rows: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -237,26 +237,35 @@ def ask(spark, sf_dir):
 
 # ---- aggregates -------------------------------------------------------------------------------------------------------
 
+
+
+def _exact(total: str, n: str) -> str:
+    """An average of whole cents, as a decimal of six places with halves away from zero; prices are above zero."""
+    return f"CAST((20000 * CAST({total} AS HUGEINT) + {n}) // (2 * {n}) AS DOUBLE) / 1e6"
+
+
 _AGGREGATES = {
     "count": "count(o_totalprice)", "distinct_count": "count(DISTINCT o_totalprice)", "max": "max(o_totalprice)", "min": "min(o_totalprice)", "sum": "round(sum(o_totalprice), 2)",
-    "distinct_sum": "round(sum(DISTINCT o_totalprice), 2)", "average": "round(avg(o_totalprice) + 0.0000137, 3)", "distinct_average": "round(avg(DISTINCT o_totalprice) + 0.0000137, 3)",
+    "distinct_sum": "round(sum(DISTINCT o_totalprice), 2)", "average": _exact("sum(cents)", "count(cents)"), "distinct_average": _exact("sum(DISTINCT cents)", "count(DISTINCT cents)"),
 }
 
 
 def _aggregate(function: str, digits: int | None):
     def run(spark, sf_dir):
         g = lift(spark, sf_dir)
-        prices = g.values("totalprice").select(F.col("s").alias("o"), "o_num")
+        price = F.col("o_num").cast("decimal(18,2)") if "average" in function else F.col("o_num")  # averages of decimals are exact
+        prices = g.values("totalprice").select(F.col("s").alias("o"), price.alias("o_num"))
         orders = g.values("customer").select(F.col("o").alias("r"), F.col("s").alias("o")).join(prices, "o").select("r", F.col("o_num").alias("price"))
         found = T.aggregated(orders, "price", function, "value")
-        return found.withColumn("value", F.round(F.col("value") + (0.0000137 if digits == 3 else 0.0), digits)) if digits else found  # no halves to round
+        found = found.withColumn("value", F.round("value", digits)) if digits else found
+        return found.withColumn("value", F.col("value").cast("double")) if "average" in function else found
 
     run.__name__ = f"agg_{function}"
     return run
 
 
 for _name, _sql in _AGGREGATES.items():
-    query(f"SELECT concat('res:/customer/', o_custkey) AS r, {_sql} AS value FROM orders GROUP BY o_custkey")(_aggregate(_name, {"sum": 2, "distinct_sum": 2, "average": 3, "distinct_average": 3}.get(_name)))
+    query(f"SELECT concat('res:/customer/', o_custkey) AS r, {_sql} AS value FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders) GROUP BY o_custkey")(_aggregate(_name, {"sum": 2, "distinct_sum": 2}.get(_name)))
 
 
 # ---- full text ----------------------------------------------------------------------------------------------------------

@@ -28,5 +28,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """df, computed and kept in the folder that spark.checkpoint.dir names (one of our own where that is unset)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(found or f"/tmp/checkpoints/{uuid.uuid4().hex}")
     return df.checkpoint()

@@ -96,6 +96,8 @@ def routed(changes: DataFrame, subscriptions: DataFrame, types: DataFrame, ontol
         _to_all(events, free.filter("resource is null and property is null").select("watcher")),
         events.join(kinds, "s").join(bound.filter("property is null and resource is null").select("watcher", "type"), "type"),
         events.join(kinds, "s").join(bound.filter("property is not null and resource is null").select("watcher", "type", F.col("property").alias("p")), ["type", "p"]),
+        events.join(kinds, "s").join(bound.filter("property is null and resource is not null").select("watcher", "type", F.col("resource").alias("s")), ["s", "type"]),
+        events.join(kinds, "s").join(bound.filter("property is not null and resource is not null").select("watcher", "type", F.col("resource").alias("s"), F.col("property").alias("p")), ["s", "type", "p"]),
     ]
     out = rows[0].select("watcher", "s", "p", "added", "removed")
     for r in rows[1:]:
@@ -106,7 +108,7 @@ def routed(changes: DataFrame, subscriptions: DataFrame, types: DataFrame, ontol
 def _to_all(events: DataFrame, watchers: DataFrame) -> DataFrame:
     """Every event for each of those who watch everything: a list of people, sent along as one array."""
     everyone = watchers.agg(F.collect_set("watcher").alias("all")).withColumn("one", F.lit(1))
-    return events.withColumn("one", F.lit(1)).join(F.broadcast(everyone), "one").withColumn("watcher", F.explode("all")).drop("all", "one")
+    return events.withColumn("one", F.lit(1)).join(everyone, "one").withColumn("watcher", F.explode("all")).drop("all", "one")
 
 
 def types_changed(changes: DataFrame) -> DataFrame:
