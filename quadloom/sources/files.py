@@ -40,14 +40,18 @@ def fresh(files: DataFrame, known: DataFrame) -> DataFrame:
     return files.join(known.select("path", "modificationTime"), ["path", "modificationTime"], "left_anti")
 
 
+def mime_type(path: str) -> Column:
+    """The type that the end of a path says."""
+    ending = F.lower(F.substring_index(path, ".", -1))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv]), ending), F.lit("application/octet-stream"))
+
+
 def attributes(files: DataFrame) -> DataFrame:
     """url, name, size, mime, type, modified of files."""
-    ending = F.lower(F.substring_index("path", ".", -1))
-    mime = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv]), ending), F.lit("application/octet-stream"))
     kind = F.lit("nfo:FileDataObject")
     for start, cls in KINDS.items():
         kind = F.when(F.col("mime").startswith(start), cls).otherwise(kind)
-    rows = files.select(F.col("path").alias("url"), F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size"), mime.alias("mime"), F.col("modificationTime").alias("modified"))
+    rows = files.select(F.col("path").alias("url"), F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size"), mime_type("path").alias("mime"), F.col("modificationTime").alias("modified"))
     return rows.withColumn("type", kind)
 
 
@@ -84,5 +88,5 @@ def extracted(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["url", "p", "o"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    typed = attributes(files).select("url", "mime").join(files.select(F.col("path").alias("url"), "content"), "url")
+    typed = files.select(F.col("path").alias("url"), mime_type("path").alias("mime"), "content")  # contents are not shuffled
     return typed.mapInPandas(rows, "url string, p string, o string").distinct()

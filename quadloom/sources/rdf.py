@@ -185,8 +185,8 @@ def load_ontology(quads: DataFrame) -> Ontology:
 
 
 def save(quads: DataFrame, path: str) -> None:
-    """The stored form: Parquet, a directory a property."""
-    quads.repartition("p").write.mode("overwrite").partitionBy("p").parquet(path)
+    """The stored form: Parquet, a directory a property. Properties of many statements are split among tasks by size."""
+    quads.hint("rebalance", F.col("p")).write.mode("overwrite").partitionBy("p").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

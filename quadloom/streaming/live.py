@@ -6,7 +6,7 @@ joins on the resource."""
 
 from __future__ import annotations
 
-import uuid
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -45,29 +45,44 @@ class LiveQuery:
     folder: str
     properties: list[str] | None = None
     emit_updates: bool = False
-    #: Paths of the last listing; the last one counts.
+    #: Paths of listings, oldest first; the last one counts. A query that starts again on its folder goes on from there.
     snapshots: list[str] = field(default_factory=list)
 
-    def list(self) -> DataFrame:
+    def __post_init__(self) -> None:
+        self.snapshots = self.snapshots or self._written()
+
+    def _written(self) -> list[str]:
+        """The whole listings that the folder holds."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = files.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/listing-*/_SUCCESS"))
+        return sorted(f.getPath().getParent().toString() for f in found or [])
+
+    def list(self, batch: int | None = None) -> DataFrame:
         """The results now; they are what later differences start from."""
-        path = f"{self.folder}/listing-{uuid.uuid4().hex}"
+        path = f"{self.folder}/listing-{time.time_ns():020d}-{'asked' if batch is None else batch}"
         self.listing().write.parquet(path)
         self.snapshots.append(path)
         return self.spark.read.parquet(path)
 
-    def update(self) -> DataFrame:
-        before = self.spark.read.parquet(self.snapshots[-1]) if self.snapshots else None
-        now = self.list()
+    def update(self, batch: int | None = None) -> DataFrame:
+        """What changed since the last listing; for a batch that comes again, since the last one of other batches."""
+        earlier = [s for s in self.snapshots if batch is None or not s.endswith(f"-{batch}")]
+        before = self.spark.read.parquet(earlier[-1]) if earlier else None
+        now = self.list(batch)
         return difference(before if before is not None else now.limit(0), now, self.emit_updates)
 
     def run(self, feed: DataFrame, sink: Callable[[DataFrame, int], None], every: str = "2 seconds", available_now: bool = False):
-        """Start on a streaming feed: each batch with a relevant change lists again and hands the difference to sink."""
+        """Start on a streaming feed: each batch with a relevant change lists again and hands the difference to sink.
+
+        How far it has read is kept in the folder, too: after a restart it goes on from there. A batch that a failure
+        cut short is told again, whole."""
 
         def batch(changes: DataFrame, n: int) -> None:
             if not relevant(changes, self.properties).isEmpty():
-                sink(self.update(), n)
+                sink(self.update(n), n)
 
-        writer = feed.writeStream.foreachBatch(batch)
+        writer = feed.writeStream.option("checkpointLocation", f"{self.folder}/progress").foreachBatch(batch)
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
 

@@ -221,6 +221,7 @@ def test_backup_and_store(spark, onto, start, tmp_path):
     assert sorted(map(tuple, back.select(*keys).collect())) == sorted(map(tuple, start.select(*keys).collect()))
     rdf.save(start, f"file://{tmp_path}/q")
     assert rdf.load(spark, f"file://{tmp_path}/q").filter("p = 'nick'").count() == 1
+    assert sorted(map(tuple, rdf.load(spark, f"file://{tmp_path}/q").select(*keys).collect())) == sorted(map(tuple, start.select(*keys).collect()))
 
 
 def test_files(spark, tmp_path):
@@ -259,6 +260,28 @@ def test_live_query(spark, tmp_path):
     assert [tuple(r) for r in query.update().collect()] == [("res:/2", "updated")]
 
 
+def test_live_query_restarts(spark, tmp_path):
+    feed, folder, rows = f"{tmp_path}/feed", f"file://{tmp_path}/snap", [("res:/1",)]
+    make = lambda: live.LiveQuery(spark, lambda: spark.createDataFrame(rows, "r string"), folder)
+    make().list()
+    change = spark.createDataFrame([("res:/2", "p", "x", True, None)], live.FEED)
+    change.write.parquet(feed)
+    stream = spark.readStream.schema(live.FEED).parquet(feed)
+    rows = [("res:/2",)]
+    with pytest.raises(Exception, match="lost"):
+        make().run(stream, lambda df, n: (_ for _ in ()).throw(RuntimeError("lost")), available_now=True).awaitTermination(60)
+    seen = []
+    sink = lambda df, n: seen.extend(map(tuple, df.collect()))
+    make().run(stream, sink, available_now=True).awaitTermination(60)
+    assert sorted(seen) == [("res:/1", "removed"), ("res:/2", "added")]  # the batch that failed is told again
+    make().run(stream, sink, available_now=True).awaitTermination(60)
+    assert len(seen) == 2  # and no batch twice
+    rows = [("res:/2",), ("res:/3",)]
+    change.write.mode("append").parquet(feed)
+    make().run(stream, sink, available_now=True).awaitTermination(60)
+    assert seen[2:] == [("res:/3", "added")]
+
+
 def test_change_feed(spark, onto):
     changes = spark.createDataFrame([("res:/1", "nick", "x", True), ("res:/1", "nick", "y", False), ("res:/1", TYPE, "Person", True), ("res:/2", "age", "3", True)], "s string, p string, o string, added boolean")
     types = spark.createDataFrame([("res:/1", "Person")], "s string, type string")
