@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, sent_if_small, text_or_empty
-from .components import connected_components
+from .components import connected_components, merged_components
 
 #: Bits of the sketch that filters candidates; rows of one side of a block of left-over pairs; words, and sets, that a task
 #: remembers; rows whose sets are made at a time.
@@ -239,12 +239,10 @@ class _Join:
         links = scratch.table(self.verified(best, near), "links1")
         parts = connected_components(links, scratch, "parts1")
         across = self.across(near.join(best, ["a", "b"], "left_anti").select("a", "b"), parts)
-        links = scratch.table(links.unionByName(self.verified(across, None)), "links2")
-        parts = connected_components(links, scratch, "parts2")
+        parts = merged_components(parts, scratch.table(self.verified(across, near), "links2"), scratch, "parts2")
         left = scratch.table(self.left_over(held, classes, parts), "left")
         if not left.isEmpty():
-            links = scratch.table(links.unionByName(self.verified(left, None)), "links3")
-            parts = connected_components(links, scratch, "parts3")
+            parts = merged_components(parts, scratch.table(self.verified(left, None), "links3"), scratch, "parts3")
 
         placed = classes.join(parts, classes["id"] == parts["node"], "left").select("set_hash", "first", F.coalesce("component", "id").alias("part"))
         firsts = placed.groupBy("part").agg(F.min(F.struct("first", "set_hash")).alias("of"))
@@ -260,14 +258,13 @@ class _Join:
         return both.filter(_may_link(F.col("n_a"), F.col("n_b"), F.col("distance"), self.num, self.den)).select("a", "b", "distance")
 
     def verified(self, pairs: DataFrame, candidates: DataFrame | None) -> DataFrame:
-        """The pairs (a, b) that link, by their sets. candidates: all pairs that may come; their sets are made once."""
+        """The pairs (a, b) that link, by their sets. candidates: a table that pairs are from, whose sets are made once; or
+        None, and then pairs are a table with classes that may be in no candidate so far."""
         if self.sets is None:
             self.sets = self.shingles_of(candidates)
         known = self.sets
-        if candidates is None:  # classes that were in no candidate so far
-            pairs = self.scratch.table(pairs, f"pairs{id(pairs)}")
-            more = self.shingles_of(pairs, known)
-            known = known.unionByName(more)
+        if candidates is None:
+            known = known.unionByName(self.shingles_of(pairs, known))
         side = lambda x: known.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}"))
         both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
         common = F.size(F.array_intersect("s_a", "s_b"))
