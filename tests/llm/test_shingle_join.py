@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from quadloom.llm.components import connected_components
+from quadloom.llm.components import connected_components, merged_components
 from quadloom.llm.common import Scratch
 from quadloom.llm.shingle_join import Shingler, keep_representatives, pigeonhole_keys, shingle_join
 
@@ -117,6 +117,16 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent if any(x in p and p[0] != p[1] for p in links)}
 
 
+def test_merged_components(spark):
+    scratch = Scratch(spark, "test")
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    parts = connected_components(table([(1, 2), (2, 3), (10, 11), (20, 21)]), scratch, "before")
+    got = {name: sorted(map(tuple, merged_components(parts, table(links), scratch, name).collect())) for name, links in {"none": [], "inside": [(1, 3)], "more": [(3, 11), (21, 7), (30, 31)]}.items()}
+    before = [(1, 1), (2, 1), (3, 1), (10, 10), (11, 10), (20, 20), (21, 20)]
+    assert got["none"] == got["inside"] == before
+    assert got["more"] == [(1, 1), (2, 1), (3, 1), (7, 7), (10, 1), (11, 1), (20, 7), (21, 7), (30, 30), (31, 30)]
+
+
 def test_one_id_with_several_texts(spark):
     x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
     rows = [(1, x), (5, x + " more"), (5, y), (5, y + " more"), (7, y + " end"), (5, z), (5, z), (5, ""), (5, None), (5, " ")]
