@@ -54,8 +54,7 @@ def describe(quads: DataFrame, ontology: Ontology, resources: DataFrame, discard
     whole = subresources(quads, resources)
     usable = quads if discardable else quads.filter(~F.col("g").startswith("graph:/discardable/") | F.col("p").isin(META))
     own = usable.join(whole, "s", "left_semi")
-    defining = ontology.properties().filter("defining").select(F.col("uri").alias("p")).distinct()
-    facts = usable.join(defining, "p", "left_semi").select(*quads.columns)
+    facts = usable.filter(F.col("p").isin(ontology.defining()))
     links = facts.filter((F.col("o_kind") == "uri") & (F.col("p") != TYPE)).select("s", "o")
     related = own.filter((F.col("o_kind") == "uri") & (F.col("p") != TYPE)).select(F.col("o").alias("s")).distinct()
     around = reachable(related, links).join(whole, "s", "left_anti")

@@ -7,7 +7,7 @@ refer to others wait until those are identified, however deep the references go;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.graph import CREATED, TYPE, URL
@@ -19,33 +19,54 @@ from .mutate import renamed
 def by_value(rows: DataFrame, quads: DataFrame, p: str) -> DataFrame:
     """(from, to) of the blank nodes whose value of p a resource has."""
     known = quads.filter(F.col("p") == p).groupBy("o").agg(F.min("s").alias("to"))
-    return rows.filter((F.col("p") == p) & F.col("s").startswith("_:")).join(known, "o").groupBy(F.col("s").alias("from")).agg(F.min("to").alias("to"))
+    return rows.filter((F.col("p") == p) & F.col("s").startswith("_:")).join(known.hint("merge"), "o").groupBy(F.col("s").alias("from")).agg(F.min("to").alias("to"))
 
 
 def by_properties(rows: DataFrame, quads: DataFrame, ontology: Ontology) -> DataFrame:
-    """(from, to) by defining properties; rows must not refer to other blank nodes."""
-    defining = ontology.properties().filter(f"defining and uri <> '{TYPE}'").select(F.col("uri").alias("p")).distinct()
+    """(from, to) by defining properties; rows must not refer to other blank nodes.
+
+    Blank nodes that say the same are compared once. So are resources: of those with the same types and values only the
+    one that goes before the others can be the best. Their joins are merge joins, for Spark takes lifted tables to be as
+    small as their compressed files and would send them whole."""
+    defining = F.col("p").isin(ontology.defining()) & (F.col("p") != TYPE)
     blank = rows.filter(F.col("s").startswith("_:"))
-    given = blank.join(defining, "p", "left_semi").groupBy(F.col("s").alias("from"), "p").agg(F.min("o").alias("o"))
-    facts = quads.join(defining, "p", "left_semi").select(F.col("s").alias("to"), "p", "o").distinct()
+    said = blank.filter(defining).groupBy(F.col("s").alias("from"), "p").agg(F.min("o").alias("o"))
+    said = said.unionByName(blank.filter(F.col("p") == TYPE).select(F.col("s").alias("from"), "p", "o").distinct())
+    alike = said.groupBy("from").agg(_same().alias("same"))
+    asked = alike.groupBy("same").agg(F.min("from").alias("from"))
+    said = cut_lineage(said.join(asked.select("from").hint("merge"), "from", "left_semi"))
+    given, needed = said.filter(F.col("p") != TYPE), said.filter(F.col("p") == TYPE).select("from", F.col("o").alias("sup"))
+
+    held = quads.filter(defining | (F.col("p") == TYPE)).select(F.col("s").alias("to"), "p", "o").distinct()
+    created = quads.filter(F.col("p") == CREATED).groupBy(F.col("s").alias("to")).agg(F.min("o_ts").alias("created"))
+    # Of resources with the same statements, the earliest created, then the smallest uri.
+    place = F.struct(F.col("created").isNull().alias("unknown"), "created", "to")
+    stands = held.groupBy("to").agg(_same().alias("same")).join(created.hint("merge"), "to", "left").groupBy("same").agg(F.min(place).alias("place")).select("place.to", "place.created")
+    held = cut_lineage(held.join(stands.hint("merge"), "to"))
+    facts = held.filter(F.col("p") != TYPE).select("to", "p", "o")
     # A candidate that fits has the given value of each defining property that it has values of. So for every set of
     # properties that candidates have, the given value that fewest of them share finds all that can fit.
     has = facts.groupBy("to").agg(F.array_sort(F.collect_set("p")).alias("has"))
-    keyed = facts.join(has, "to").select("to", "has", "p", "o")
+    keyed = facts.join(has.hint("merge"), "to").select("to", "has", "p", "o")
     shared = keyed.groupBy("has", "p", "o").agg(F.count("*").alias("sharing"))
     sets = has.select("has").distinct().withColumn("p", F.explode("has"))
-    rarest = given.join(sets, "p").join(shared, ["has", "p", "o"], "left").groupBy("from", "has").agg(F.min(F.struct(F.coalesce("sharing", F.lit(0)).alias("sharing"), "p", "o")).alias("key"))
-    first = rarest.filter("key.sharing > 0").select("from", "has", "key.p", "key.o").join(keyed, ["has", "p", "o"]).select("from", "to").distinct()
+    rarest = given.join(sets, "p").join(shared.hint("merge"), ["has", "p", "o"], "left").groupBy("from", "has").agg(F.min(F.struct(F.coalesce("sharing", F.lit(0)).alias("sharing"), "p", "o")).alias("key"))
+    first = rarest.filter("key.sharing > 0").select("from", "has", "key.p", "key.o").join(keyed.hint("merge"), ["has", "p", "o"]).select("from", "to").distinct()
     # A defining property speaks against a candidate that has values of it, none of which is the given one.
-    compared = first.join(given, "from").join(facts.withColumnRenamed("o", "held"), ["to", "p"]).groupBy("from", "to", "p").agg(F.max(F.col("held") == F.col("o")).alias("agrees"), F.count("*").alias("n"))
+    compared = first.join(given.hint("merge"), "from").join(facts.withColumnRenamed("o", "held").hint("merge"), ["to", "p"]).groupBy("from", "to", "p").agg(F.max(F.col("held") == F.col("o")).alias("agrees"), F.count("*").alias("n"))
     fitting = compared.groupBy("from", "to").agg(F.bool_and("agrees").alias("fits"), F.sum("n").alias("score")).filter("fits")
-    needed = blank.filter(F.col("p") == TYPE).select(F.col("s").alias("from"), F.col("o").alias("sup")).distinct()
-    types = quads.filter(F.col("p") == TYPE).select(F.col("s").alias("to"), F.col("o").alias("sub")).join(ontology.class_closure(), "sub").select("to", "sup").distinct()
+    types = held.filter(F.col("p") == TYPE).select("to", "created", F.col("o").alias("sub")).join(ontology.class_closure(), "sub").select("to", "created", "sup").distinct()
     wanted = needed.groupBy("from").agg(F.count("*").alias("types"))
-    typed = fitting.join(needed, "from").join(types, ["to", "sup"]).groupBy("from", "to", "score").agg(F.count("*").alias("have")).join(wanted, "from").filter("have = types")
-    created = quads.filter(F.col("p") == CREATED).groupBy(F.col("s").alias("to")).agg(F.min("o_ts").alias("created"))
-    order = Window.partitionBy("from").orderBy(F.desc("score"), F.col("created").asc_nulls_last(), "to")
-    return typed.join(created, "to", "left").withColumn("n", F.row_number().over(order)).filter("n = 1").select("from", "to")
+    typed = fitting.join(needed.hint("merge"), "from").join(types.hint("merge"), ["to", "sup"]).groupBy("from", "to", "created", "score").agg(F.count("*").alias("have")).join(wanted.hint("merge"), "from").filter("have = types")
+    # The best is the least by this order, an aggregate of fixed size.
+    best = typed.groupBy("from").agg(F.min(F.struct((-F.col("score")).alias("score"), F.col("created").isNull().alias("unknown"), "created", "to")).alias("best"))
+    found = best.join(asked.hint("merge"), "from").select("same", "best.to")
+    return alike.join(found.hint("merge"), "same").select("from", "to")
+
+
+def _same() -> Column:
+    """Two hashes of all statements (p, o) of a resource, 128 bits, and their number."""
+    return F.struct(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(seed), "p", "o")).alias(f"h{seed}") for seed in (1, 2)])
 
 
 def identifier(ontology: Ontology, data_objects: tuple[str, ...] = (), unique: tuple[str, ...] = ()):

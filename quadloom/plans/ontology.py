@@ -90,6 +90,14 @@ class Ontology:
     def subproperties(self, uri: str) -> list[str]:
         return self._below(uri, True)
 
+    def defining(self) -> list[str]:
+        """The defining properties, from the driver's copy: a join with them on the constant p of a lifted table would have
+        Spark send that table's column whole."""
+        cached = self.__dict__.setdefault("_defining", [])
+        if not cached:
+            cached += sorted(r["uri"] for r in self.properties().filter("defining").select("uri").distinct().collect())
+        return cached
+
     def inverse(self, p: str) -> str | None:
         row = self.properties().filter((F.col("uri") == p) | (F.col("inverse") == p)).select(F.when(F.col("uri") == p, F.col("inverse")).otherwise(F.col("uri")).alias("i")).filter("i is not null").first()
         return row["i"] if row else None

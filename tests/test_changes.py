@@ -354,3 +354,23 @@ def test_deep_references_are_identified(spark, onto, start):
     known = M.complete(M.checked(rows(spark, *facts_of(lambda i: f"res:/n{i}")), onto), M.graph_of("app"))
     found = identify.identifier(onto)(rows(spark, *facts_of(lambda i: f"_:{i}")), M.add(start.limit(0), known).quads.cache())
     assert dict(map(tuple, found.collect())) == {f"_:{i}": f"res:/n{i}" for i in range(deep)}
+
+
+def test_identification_sends_no_lifted_table_whole(spark, monkeypatch):
+    from quadloom.queries import identify_all
+
+    made = []
+    monkeypatch.setattr(identify, "cut_lineage", lambda df: made.append(df) or df, raising=False)
+    made.append(identify_all(spark, "/root/testdata/sf0.001"))
+    for df in made:
+        assert "BroadcastNestedLoopJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_resources_that_say_the_same(spark, onto):
+    # Of many alike, the earliest created one stands for all, and every blank node that says the same gets it.
+    known = [x for i in range(40) for x in ((f"res:/n{i:02}", TYPE, "Contact"), (f"res:/n{i:02}", "fullname", "Same"))]
+    quads = M.complete(M.checked(rows(spark, *known), onto), M.graph_of("app"))
+    made = quads.filter("s = 'res:/n07' and p = 'fullname'").withColumns({"p": F.lit(CREATED), "o": F.lit("2020-01-01T00:00:00"), "o_ts": F.lit("2020-01-01").cast("timestamp")})
+    batch = rows(spark, *[x for i in range(30) for x in ((f"_:{i}", TYPE, "Contact"), (f"_:{i}", "fullname", "Same"))])
+    found = identify.by_properties(batch, quads.unionByName(made.select(quads.columns)), onto)
+    assert {tuple(r) for r in found.collect()} == {(f"_:{i}", "res:/n07") for i in range(30)}
