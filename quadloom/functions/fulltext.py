@@ -64,6 +64,14 @@ def score(column: Column, text: str, depth: int = 0) -> Column:
 
 
 def excerpt(column: Column, text: str, around: int = 40) -> Column:
-    """What stands around the first hit of each part."""
-    pieces = [F.regexp_extract(column, f"(?s).{{0,{around}}}{p.pattern.removeprefix('(?iu)')}.{{0,{around}}}".join(("(?iu)", "")), 0) for p in parts_of(text)[0] if not p.negated]
-    return F.concat_ws(" … ", *[F.nullif(x, F.lit("")) for x in pieces]) if pieces else F.lit("")
+    """What stands around the first hit of each part. The hit is found first, in one pass: tried at each place of the
+    text, the pattern with what stands before would look for the hit from `around` places at each."""
+    pieces = []
+    for p in parts_of(text)[0]:
+        if not p.negated:
+            pattern = p.pattern.removeprefix("(?iu)")
+            before = F.split(column, f"(?iu)(?s){pattern}", 2)[0]
+            near = F.substring(column, F.greatest(F.length(before) - around, F.lit(0)) + 1, F.length(column))
+            found = F.regexp_extract(near, f"(?iu)(?s).{{0,{around}}}{pattern}.{{0,{around}}}", 0)
+            pieces.append(F.when(column.rlike(f"(?iu)(?s){pattern}"), F.nullif(found, F.lit(""))))
+    return F.concat_ws(" … ", *pieces) if pieces else F.lit("")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,6 +136,32 @@ def test_score_and_excerpt(graph):
     assert "Hello" in rows[0]["excerpt"]
 
 
+def test_excerpt_is_what_its_pattern_finds(spark):
+    around = "(?iu)(?s).{0,40}%s.{0,40}"
+    texts = ["trash", "", "none", "a trash", "x" * 39 + " trash, TRASH\nand " + "y" * 60, "é\U0001f600 " * 30 + "Trash." + "\U0001f600" * 50, "trashy " * 9 + "trash", "a " * 30 + "\ntrash\n" + "trash " * 20, "x" * 50 + "trash", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for word in ("trash", "tras?", "trash*", "*sh", "'a trash'"):
+        pattern = fulltext.parts_of(word)[0][0].pattern.removeprefix("(?iu)")
+        expected = F.coalesce(F.regexp_extract("t", around % pattern, 0), F.lit(""))
+        for r in df.select("t", fulltext.excerpt(F.col("t"), word).alias("got"), expected.alias("want")).collect():
+            assert r["got"] == r["want"], (word, r["t"])
+
+
+def test_excerpt_takes_about_as_long_as_the_score(spark):
+    df = spark.range(16, numPartitions=4).select(F.repeat(F.lit("some words without the one "), 20_000).alias("t"), "id")
+
+    def seconds(column):
+        best = float("inf")
+        for _ in range(3):
+            begun = time.perf_counter()
+            df.select(F.max(F.length(F.concat(column.cast("string"), F.col("id"))))).collect()
+            best = min(best, time.perf_counter() - begun)
+        return best
+
+    text = F.concat("t", F.col("id"))  # not a constant
+    assert seconds(fulltext.excerpt(text, "trash")) < 6 * seconds(fulltext.score(text, "trash")) + 0.3
+
+
 def test_closure_of_a_cycle(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "d")], "sub string, sup string")
     nodes = spark.createDataFrame([(x,) for x in "abcd"], "uri string")
