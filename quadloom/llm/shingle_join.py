@@ -39,8 +39,9 @@ from .common import Scratch, sent_if_small, text_or_empty
 from .components import connected_components, merged_components
 
 #: Bits of the sketch that filters candidates; rows of one side of a block of left-over pairs; words, and sets, that a task
-#: remembers; rows whose sets are made at a time.
-SKETCH_BITS, BLOCK_ROWS, REMEMBERED, BATCH_ROWS = 1024, 1024, 400_000, 500
+#: remembers; rows whose sets are made at a time. Texts go to Python BATCH_ROWS at a time too: ten thousand of them would be
+#: held by the JVM, by Arrow and as Python strings at once, in each of an executor's tasks.
+SKETCH_BITS, BLOCK_ROWS, REMEMBERED, BATCH_ROWS = 1024, 1024, 100_000, 500
 #: Bits of the map that spares keys which no two classes share the second shuffle. Past some tens of millions of shared keys
 #: it lets most keys through, which costs that shuffle and loses nothing.
 BITMAP_BITS = 1 << 26
@@ -217,7 +218,7 @@ class _Join:
     def run(self) -> DataFrame:
         """doc_id, a, b, set_hash, n_shingles, component_id, stands (is of the component's first class and id), one row per row with a doc_id."""
         scratch = self.scratch
-        signed = self.signed = scratch.table(signatures(self.docs, self.words, self.num, self.den), "signed")
+        signed = self.signed = self.text_table(signatures(self.docs, self.words, self.num, self.den), "signed")
         # A class's number is its smallest doc_id; of classes that share it, the others have a hash.
         sets = signed.filter("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("mark").alias("mark"), F.first("bits").alias("bits"))
         place = F.row_number().over(Window.partitionBy("first").orderBy("set_hash"))
@@ -292,7 +293,17 @@ class _Join:
         rows = _texts(self.docs).select("doc_id", "text", F.xxhash64("doc_id").alias("hash"))
         found = rows.mapInPandas(sets, "first long, set_hash binary, shingles array<long>")
         sets_ = found.join(wanted.select("id", "first", "set_hash"), ["first", "set_hash"]).select("id", "shingles").dropDuplicates(["id"])
-        return self.scratch.table(sets_, f"sets{self.made}")
+        return self.text_table(sets_, f"sets{self.made}")
+
+    def text_table(self, df: DataFrame, name: str) -> DataFrame:
+        """A table made from texts by Python, which gets them in batches of BATCH_ROWS."""
+        conf, setting = self.docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(setting)
+        conf.set(setting, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+        try:
+            return self.scratch.table(df, name)
+        finally:
+            conf.set(setting, before)
 
     def across(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
         """The pairs whose sides are in different components."""

@@ -139,3 +139,15 @@ def test_one_id_with_several_texts(spark):
     assert {r[0] for r in kept} == {1, 5}
     assert (1, x) in kept
     assert (5, z) in kept
+
+
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    from quadloom.llm import shingle_join as J
+
+    setting, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before, table = spark.conf.get(setting), J.Scratch.table
+    monkeypatch.setattr(J.Scratch, "table", lambda self, df, name, *a: seen.update({name: int(spark.conf.get(setting))}) or table(self, df, name, *a))
+    docs = spark.createDataFrame([(i, f"a b c d e f {i // 2}") for i in range(20)], "doc_id long, text string")
+    assert J.shingle_join(docs, words=3, num=90, den=100).count() == 20
+    assert {seen[n] for n in seen if n == "signed" or n.startswith("sets")} == {J.BATCH_ROWS}
+    assert spark.conf.get(setting) == before
