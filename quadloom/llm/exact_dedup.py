@@ -160,6 +160,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     times = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("times")).join(found, "digest")
     others = times.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("keep_id"))).filter("not stays or times > 1")
     others = scratch.table(others.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__other"), "stays"), "others")
+    scratch.drop_but("others")
     marked = docs.withColumn("__digest", text_digest(text_or_empty()))
     same = (marked["__digest"] == others["__other"]) & marked["doc_id"].cast("long").eqNullSafe(others["__id"])
     kept = marked.join(sent_if_small(others), same, "left_anti")

@@ -386,6 +386,7 @@ def keep_representatives(docs: DataFrame, words: int = 5, num: int = 80, den: in
     times = join.signed.groupBy("doc_id", "a", "b").agg(F.count("*").alias("times"))
     others = times.join(stay, ["doc_id", "a", "b"], "left").filter("stays is null or times > 1")
     others = join.scratch.table(others.select(F.col("doc_id").alias("__id"), F.col("a").alias("__of_a"), F.col("b").alias("__of_b"), "stays"), "others")
+    join.scratch.drop_but("others")
     keyed = docs.withColumn("__a", F.xxhash64(text_or_empty())).withColumn("__b", F.hash(text_or_empty()))
     same = (keyed["doc_id"].cast("long") == others["__id"]) & (keyed["__a"] == others["__of_a"]) & (keyed["__b"] == others["__of_b"])
     kept = keyed.join(sent_if_small(others), same, "left_anti")

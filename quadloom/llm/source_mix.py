@@ -10,7 +10,8 @@
    draw meets the few sources of its bin. Slots beyond a source's target are left out, missing ones make up one last shard.
 4. A source's slot j takes block perm(j mod blocks) of epoch j div blocks. perm is a swap-or-not shuffle: a pseudorandom
    permutation of 0 .. blocks-1, for each source and epoch, that needs no table. So each block is taken equally often, but
-   for one. Blocks and the documents in them are joined by index.
+   for one. Blocks and the documents in them are joined by index: by the block where the mix's order counts, by pages of
+   PAGE_BLOCKS blocks, with a bit for each block that an epoch takes, where only what is taken does.
 
 Defined cases: null text has size 0 and is taken 0 times; null source is a source of its own, last in order; rows that
 share a doc_id are documents of their own in the mix of blocks; an empty table, or one without words, gives an empty mix;
@@ -26,6 +27,8 @@ from .common import SPACES, Scratch, row_key, sent_if_small, text_or_empty, word
 
 #: Words of a block, slots of an output shard, documents of a chunk (about), rounds of the shuffle, bins of the line of targets.
 BLOCK_WORDS, SHARD_SLOTS, CHUNK_DOCS, ROUNDS, BINS = 32, 16_384, 2_048, 10, 1_024
+#: Blocks of a page, the bits of a long: 2 to the power PAGE_POWER.
+PAGE_BLOCKS, PAGE_POWER = 64, 6
 SEED, LAST_SHARD = 20_240_601, (1 << 62)
 #: Weights of the sources in order, repeating; words to take, and words of a source to take at most, by its size.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
@@ -87,6 +90,7 @@ class Mix:
         within = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, -1)
         placed = known.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0).cast("long"))).join(bases, ["sid", "chunk"])
         self.documents = self.scratch.table(placed.withColumn("start", F.col("base") + F.col("within")).drop("base", "within", "chunk"), "documents")
+        self.scratch.drop("sized")
 
     def drawn(self) -> DataFrame:
         """shard, sid, count: how many of a shard's slots drew a source."""
@@ -122,6 +126,7 @@ class Mix:
         slots = runs.repartition(tasks, "sid", "shard").withColumn("j", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
         slots = slots.withColumn("epoch", F.floor(F.col("j") / F.col("blocks")))
         block = shuffled(F.col("j") % F.col("blocks"), F.col("blocks"), F.lit(SEED), F.col("sid"), F.col("epoch"))
+        block = F.coalesce(block, F.lit(0).cast("long"))  # never null, but else Spark shuffles twice: once to see that
         return slots.select("shard", F.xxhash64(F.lit(SEED), "sid", "j").alias("slot"), "sid", "epoch", block.alias("block"))
 
     def pieces(self) -> DataFrame:
@@ -135,11 +140,55 @@ class Mix:
         # Both sides are larger than their plans' estimates, which don't know how many rows a sequence gives: no broadcast.
         return self.slots().hint("merge").join(held.hint("merge"), ["sid", "block"])
 
+    def taken(self) -> DataFrame:
+        """What each epoch takes of a document, by pages: sid, epoch, page, bits (of the blocks that are taken), doc_id, start,
+        size, words, and the key; no row for a page of which the epoch takes nothing that the document holds.
+
+        These are the pieces, put together before they are joined: a row stands for PAGE_BLOCKS blocks."""
+        pages = F.lit(PAGE_BLOCKS).cast("long")
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("block") % pages).cast("int"))
+        drawn = self.slots().groupBy("sid", F.shiftright("block", PAGE_POWER).alias("page"), "epoch").agg(F.bit_or(bit).alias("drawn"))
+        low, high = held_blocks()
+        held = self.documents.filter("size > 0").select("sid", "doc_id", "start", "size", *self.keys)
+        held = held.withColumn("page", F.explode(F.sequence(F.shiftright(low, PAGE_POWER), F.shiftright(high, PAGE_POWER))))
+        # The bits from first to last: all ones, shifted right until as many are left, and left to their place.
+        first, last = (F.greatest(low, F.col("page") * pages) % pages).cast("int"), (F.least(high, F.col("page") * pages + pages - 1) % pages).cast("int")
+        own = F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), F.lit(PAGE_BLOCKS - 1) - last + first), first)
+        met = drawn.hint("merge").join(held.hint("merge"), ["sid", "page"]).withColumn("bits", F.col("drawn").bitwiseAND(own)).filter("bits <> 0").drop("drawn")
+        length = F.lit(BLOCK_WORDS).cast("long")
+        takes = lambda block: (F.shiftright(block, PAGE_POWER) == F.col("page")) & (F.bit_get("bits", (block % pages).cast("int")) == 1)
+        # Blocks at both ends hold words of other documents as well.
+        before = F.when(takes(low), F.col("start") - low * length).otherwise(F.lit(0))
+        after = F.when(takes(high), (high + 1) * length - F.col("start") - F.col("size")).otherwise(F.lit(0))
+        return met.withColumn("words", F.bit_count("bits") * length - before - after)
+
+
+def held_blocks() -> tuple[Column, Column]:
+    """The first and the last block of a document of one word or more, by its start and size."""
+    length = F.lit(BLOCK_WORDS).cast("long")
+    return F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("size") - 1) / length)
+
+
+def runs_of(pages: str) -> Column:
+    """(first, words) of the blocks that an array of structs (page, bits) names, in order, of a document with start and size."""
+    length, every = F.lit(BLOCK_WORDS).cast("long"), F.lit(PAGE_BLOCKS).cast("long")
+    low, high = held_blocks()
+
+    def run(block: Column) -> Column:
+        first = F.greatest(F.lit(0).cast("long"), block * length - F.col("start"))
+        return F.struct(first.alias("first"), (F.least(F.col("size"), (block + 1) * length - F.col("start")) - first).alias("words"))
+
+    def of_page(p: Column) -> Column:
+        blocks = F.sequence(F.greatest(low, p["page"] * every), F.least(high, p["page"] * every + every - 1))
+        return F.transform(F.filter(blocks, lambda b: F.bit_get(p["bits"], (b % every).cast("int")) == 1), run)
+
+    return F.flatten(F.transform(F.array_sort(pages), of_page))
+
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row of docs."""
     mix = Mix(docs)
-    taken = mix.pieces().groupBy("sid", "start").agg(F.sum("words").alias("taken"))
+    taken = mix.taken().groupBy("sid", "start").agg(F.sum("words").alias("taken"))
     rows = mix.documents.withColumn("key", F.when(F.col("size") > 0, F.col("start")))
     found = rows.join(taken.select(F.col("sid").alias("s"), F.col("start").alias("key2"), "taken"), (F.col("sid") == F.col("s")) & (F.col("key") == F.col("key2")), "left")
     return found.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
@@ -152,11 +201,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Every row is a document of its own, whatever its doc_id, if it has one; rows without words are not in the mix."""
     keyed = docs.withColumn("__key", row_key(docs))
     mix = Mix(keyed, key="__key")
-    runs = mix.pieces().groupBy("__key", "sid", "start", "epoch").agg(F.sum("words").alias("__taken"), F.max("size").alias("__size"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("__runs"))
-    # Whole copies of a row share its key, and have a run each: one of them is joined with all of their runs.
-    rows = keyed.dropDuplicates(["__key"])
-    runs = runs.select(F.col("__key").alias("__of"), "__taken", "__size", F.when(F.col("__taken") < F.col("__size"), F.col("__runs")).alias("__runs"))
-    taken = rows.join(runs, rows["__key"] == runs["__of"])
+    runs = mix.taken().groupBy("__key", "sid", "start", "size", "epoch").agg(F.sum("words").alias("__taken"), F.collect_list(F.struct("page", "bits")).alias("pages"))
+    runs = runs.select(F.col("__key.a").alias("__of_a"), F.col("__key.b").alias("__of_b"), F.when(F.col("__taken") < F.col("size"), runs_of("pages")).alias("__runs"))
+    # Whole copies of a row share its key, and have a run each: one of them is joined with all of their runs. By the key's two
+    # numbers: a struct that went through a table has another type, and Spark would shuffle the texts again to cast it.
+    rows = keyed.withColumns({"__a": F.col("__key.a"), "__b": F.col("__key.b")}).dropDuplicates(["__a", "__b"])
+    taken = rows.join(runs, (rows["__a"] == runs["__of_a"]) & (rows["__b"] == runs["__of_b"]))
     words = F.regexp_extract_all(F.col("text").cast("string"), F.lit(f"[^{SPACES}]+[{SPACES}]*"), F.lit(0))
     cut = F.aggregate(
         F.col("__runs"),

@@ -3,7 +3,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quadloom.llm.source_mix import BLOCK_WORDS, Mix, mixed_documents, mixed_sizes, shuffled, source_targets
+from quadloom.llm.exact_dedup import keep_first
+from quadloom.llm.shingle_join import keep_representatives
+from quadloom.llm.source_mix import BLOCK_WORDS, Mix, mixed_documents, mixed_sizes, runs_of, shuffled, source_targets
 
 
 def brute_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
@@ -69,6 +71,52 @@ def test_blocks_are_taken_equally_often(small):
     assert words == BLOCK_WORDS
 
 
+def test_taken_is_what_the_pieces_hold(spark):
+    """By pages of blocks, of documents within a block, over many pages, and of odd starts, the same words are taken."""
+    sizes = [1, 2, 31, 32, 33, 64, 2047, 2048, 2049, 5000, 12_345, 0, 7]
+    rows = [(i, "w " * sizes[i % len(sizes)], "abc"[i % 3] if i % 7 else None) for i in range(150)]
+    mix = Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    want, blocks = Counter(), {}
+    for r in mix.pieces().collect():
+        of = r["sid"], r["doc_id"], r["start"], r["epoch"]
+        want[of] += r["words"]
+        blocks.setdefault(of, []).append((r["first"], r["words"]))
+    rows = mix.taken().select("sid", "doc_id", "start", "epoch", "words", runs_of_one().alias("runs")).collect()
+    got, runs = Counter(), {}
+    for r in rows:
+        of = r["sid"], r["doc_id"], r["start"], r["epoch"]
+        got[of] += r["words"]
+        runs.setdefault(of, []).extend(map(tuple, r["runs"]))
+    assert got == want
+    assert {k: sorted(v) for k, v in runs.items()} == {k: sorted(v) for k, v in blocks.items()}
+    assert len(rows) < sum(map(len, blocks.values())) / 10
+
+
+def runs_of_one():
+    return runs_of(F.array(F.struct("page", "bits")))
+
+
+def test_texts_are_shuffled_once(spark, small, capsys):
+    """A key that goes through a table is not cast for the join: that would shuffle the texts again."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mixed_documents(small).explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = capsys.readouterr().out.split("SortMergeJoin", 1)[1]
+    texts = plan[: plan.index("FileScan")]  # the side of the join that has the texts
+    assert "text#" in texts
+    assert texts.count("Exchange") == 1
+
+
+def test_only_what_is_read_is_left(small, tmp_path, monkeypatch):
+    monkeypatch.setattr("quadloom.llm.common.shared_dir", lambda spark: f"file://{tmp_path}")
+    got = [keep_first(small), keep_representatives(small), mixed_documents(small)]
+    left = {p.parent.name.rsplit("-", 1)[0] + "/" + p.name for p in tmp_path.glob("*/*") if p.is_dir()}
+    assert left == {"exact_dedup/others", "shingle_join/others", "source_mix/documents", "source_mix/sources"}
+    assert all(d.count() for d in got)
+
+
 def test_odd(odd, none):
     rows = mixed_sizes(odd).collect()
     assert len(rows) == odd.count()
