@@ -16,14 +16,15 @@ of their texts; a null doc_id is written first; an empty table writes a file wit
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,8 +37,9 @@ PRECISION, LANES, BLOCK_TOKENS, CHECKPOINT, FRAME_TOKENS = 20, 32, 32_768, 512,
 #: exactly, and the floor of a state's quotient by a frequency is exact too, which integer division would take longer for.
 LOW, WORD = float(1 << 28), float(1 << 24)
 SCALE, ROOM = float(1 << PRECISION), LOW / (1 << PRECISION) * WORD
-#: Pretokenised chunks whose ids a worker remembers, in each of two generations.
-REMEMBERED = 500_000
+#: Chunks whose ids a worker remembers, in each of two generations; characters of the longest of them; characters of the
+#: texts that are cut together.
+REMEMBERED, LONGEST, SLICE = 500_000, 200, 1 << 22
 FRAME_SCHEMA = (
     "shard int, frame int, doc_ids array<long>, lengths array<long>, n_tokens long, freq binary, "
     "blocks array<struct<n:int,words:int,crc:long,states:binary,places:binary>>, stream binary"
@@ -175,68 +177,117 @@ def decode_frame(freq: bytes, blocks: list, stream: bytes) -> np.ndarray:
 # ---- texts to ids ---------------------------------------------------------------------------------------------------
 
 
+def _pair_table(chars: Iterable[int]) -> np.ndarray:
+    """True at each number of two bytes (256 * the one before + the last) with which one of these characters ends."""
+    found = np.zeros(1 << 16, dtype=bool)
+    for data in (chr(c).encode() for c in chars):
+        found[np.arange(256) << 8 | data[0] if len(data) == 1 else data[-2] << 8 | data[-1]] = True
+    return found
+
+
 class ChunkEncoder:
     """Ids of texts by a byte-level BPE tokenizer of the tokenizers library, remembered by chunk.
 
-    The pretokenizer never joins what stands on both sides of the start of a run of white space, and never looks back;
-    so a text may be cut before each space, and each chunk encoded once. A space with white space on both sides (or at
-    the end) is not such a place: those texts are encoded whole."""
+    The pretokenizer never joins what stands on both sides of the start of a run of white space, nor a letter or digit and
+    a sign after it, and never looks back. So a text may be cut there, and each chunk encoded once. Cuts are looked for in
+    the bytes of many texts at a time, and Arrow tells which chunks are the same, so that Python sees distinct ones only.
+    Texts are not cut for tokenizers of another kind, or whose added tokens hold a character that is cut at."""
 
-    UNSAFE = re.compile(r"\s \s|\s {1,2}\Z|  ")
-    #: An unsafe text has one of these, or ends with a space; looking for them costs less than the pattern.
-    HINTS = tuple(f"{chr(c)} " for c in range(0x3001) if chr(c).isspace())
+    #: Cuts come before these: at the start of a run of white space, or after a letter or digit.
+    BLANKS, SIGNS = " \n\t\r", ".,;:!?)"
+    #: Where the text before ends with white space (or what may be: three bytes are told by the last two); with a letter or digit.
+    WHITE = _pair_table(c for c in range(0x3001) if c < 32 or chr(c).isspace())
+    WORD_END = _pair_table(c for c in (*range(0x80), *range(0xC0, 0x250), *range(0x400, 0x482)) if chr(c).isalnum())
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel part; the library's threads would spin beside them
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        space = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0]  # as the vocabulary writes it
+        self.kind = np.zeros(256, dtype=np.uint8)
+        if self.may_cut(json.loads(tokenizer_json)):
+            self.kind[list(self.BLANKS.encode())], self.kind[list(self.SIGNS.encode())] = 1, 2
+        # Blanks as the vocabulary writes them.
+        blanks = tuple(self.tokenizer.encode(f"{c}a", add_special_tokens=False).tokens[0][0] for c in self.BLANKS)
         self.begins = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
-        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(space)]] = True
+        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(blanks)]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def may_cut(self, spec: dict) -> bool:
+        added, pre = spec.get("added_tokens") or [], spec.get("pre_tokenizer") or {}
+        split = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        clear = not any(t.get("lstrip") or t.get("rstrip") or set(t["content"]) & set(self.BLANKS + self.SIGNS) for t in added)
+        return bool(split and clear and not spec.get("normalizer"))
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def chunks(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of chunks with a space in front. Chunks without white space are encoded in a row: a token that begins with a
-        space begins a chunk there."""
-        plain = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
-        found = {}
-        for i in range(0, len(plain), 4096):
-            some = plain[i : i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+        """Ids of chunks. Those without white space but a blank in front are encoded in a row, a line feed before those without
+        one: a token that begins with a blank begins a chunk there."""
+        found: dict[str, bytes] = {}
+        plain = [c for c in new if c.split() == [c[1:] if c[0] in self.BLANKS else c]] if self.kind.any() else []
+        for i in range(0, len(plain), 1024):
+            some = plain[i : i + 1024]
+            bare = np.array([c[0] not in self.BLANKS for c in some])
+            row = "".join([f"\n{c}" if b else c for c, b in zip(some, bare.tolist(), strict=True)])
+            ids = np.array(self.tokenizer.encode_batch_fast([row], add_special_tokens=False)[0].ids, dtype="<u4")
             starts = np.flatnonzero(self.begins[ids])
             if len(starts) == len(some):
                 ends, data = [*(starts[1:] * 4).tolist(), len(ids) * 4], ids.tobytes()
-                found.update(zip(some, [data[a:b] for a, b in zip((starts * 4).tolist(), ends, strict=True)], strict=True))
-        rest = [c for c in new if c not in found]
-        found.update(zip(rest, self.whole([f" {c}" for c in rest]), strict=True))
+                found.update(zip(some, [data[a:b] for a, b in zip(((starts + bare) * 4).tolist(), ends, strict=True)], strict=True))
+        rest = [c for c in new if c not in found] if len(found) < len(new) else []
+        found.update(zip(rest, self.whole(rest), strict=True))
         return found
 
-    def unsafe(self, text: str) -> bool:
-        return (text.endswith(" ") or any(h in text for h in self.HINTS)) and bool(self.UNSAFE.search(text))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        cut = [[t] if self.unsafe(t) else t.split(" ") for t in texts]  # all but the first chunk have their space in front
+    def ids_of(self, distinct: list[str]) -> list[bytes]:
+        """Ids of distinct chunks, remembered or new."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        flat = [c for cs in cut for c in cs[1:]]
-        ids = list(map(self.known.get, flat))
-        missing = {c for c, x in zip(flat, ids, strict=True) if x is None}
-        kept = {c: x for c in missing if (x := self.older.get(c)) is not None}
-        kept |= self.chunks([c for c in missing if c not in kept])
-        self.known |= kept
+        ids = list(map(self.known.get, distinct))
+        missing = [c for c, x in zip(distinct, ids, strict=True) if x is None]
         if missing:
-            ids = [kept[c] if x is None else x for c, x in zip(flat, ids, strict=True)]
-        out, at = [], 0
-        for first, cs in zip(self.whole([cs[0] for cs in cut]), cut, strict=True):
-            out.append(first + b"".join(ids[at : at + len(cs) - 1]))
-            at += len(cs) - 1
-        return out
+            kept = {c: x for c in missing if (x := self.older.get(c)) is not None}
+            kept |= self.chunks([c for c in missing if c not in kept])
+            ids = [kept[c] if x is None else x for c, x in zip(distinct, ids, strict=True)]
+            self.known |= {c: x for c, x in kept.items() if len(c) <= LONGEST}
+        return ids
+
+    def cuts(self, text: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Where chunks begin in texts that stand one after the other, as bytes, and begin there."""
+        cut = np.zeros(len(text), dtype=bool)
+        cut[begins[begins < len(text)]] = True
+        kind = self.kind[text]
+        at = np.flatnonzero(kind)
+        before = text.take(at - 2, mode="wrap").astype(np.uint16) << 8 | text.take(at - 1, mode="wrap")
+        cut[at[np.where(kind[at] == 1, ~self.WHITE[before], self.WORD_END[before])]] = True
+        return np.flatnonzero(cut)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        coded = [t.encode() for t in texts]
+        data = b"".join(coded)
+        bounds = np.cumsum([0, *map(len, coded)])
+        starts = self.cuts(np.frombuffer(data, dtype=np.uint8), bounds[:-1])
+        offsets = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
+        chunks = pa.LargeStringArray.from_buffers(len(starts), offsets, pa.py_buffer(data)).dictionary_encode()
+        found, which = self.ids_of(chunks.dictionary.to_numpy(zero_copy_only=False).tolist()), chunks.indices.to_numpy()
+        sizes = np.array([len(x) for x in found], dtype=np.int64) // 4
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        # Each chunk's ids are copied from where its first occurrence's stand.
+        shift = (np.cumsum(sizes) - sizes)[which] - (ends - lengths)
+        out = np.frombuffer(b"".join(found), dtype="<u4")[np.repeat(shift, lengths) + np.arange(lengths.sum())].tobytes()
+        places = (np.append(0, ends)[np.searchsorted(starts, bounds)] * 4).tolist()
+        return [out[a:b] for a, b in zip(places, places[1:], strict=False)]
+
+
+def slices(texts: list[str]) -> Iterator[slice]:
+    """Consecutive texts of about SLICE characters together, or one longer text at the end."""
+    part = np.cumsum([len(t) for t in texts]) // SLICE
+    bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    return (slice(a, b) for a, b in zip(bounds, bounds[1:], strict=False) if a < b)
 
 
 _encoders: dict[int, ChunkEncoder] = {}
@@ -269,9 +320,9 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, path: str, end_id: i
 
         held = 0
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.iloc[i : i + 256]
-                for doc_id, got in zip(part["doc_id"], encoder(part["text"].tolist()), strict=True):
+            texts = batch["text"].tolist()
+            for part in slices(texts):
+                for doc_id, got in zip(batch["doc_id"].iloc[part], encoder(texts[part]), strict=True):
                     ids.append(got + end)
                     doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
                     held += len(ids[-1]) // 4

@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -42,6 +43,59 @@ def test_chunks_property(texts):
     assert chunked(texts) == [ids_of(plain, t).tobytes() for t in texts]
 
 
+def test_chunks_part_at_signs_and_lines(plain):
+    """Each new chunk costs a call into the tokenizer: words are not new for the sign or the line that follows."""
+    with open(PATH, encoding="utf-8") as f:
+        encoder = F.ChunkEncoder(f.read())
+    new, chunks = [], encoder.chunks
+    encoder.chunks = lambda some: new.extend(some) or chunks(some)
+    words = ["alpha", "bêta", "gammá", "дельта", "x9"]
+    texts = [f"to {a}{sign} to" for a in words for sign in ".,;:!?)"] + [f"to {a}\n{b} to" for a in words for b in words]
+    assert encoder(texts) == [ids_of(plain, t).tobytes() for t in texts]
+    assert sorted(new) == sorted(["to", " to", *".,;:!?)", *(f" {w}" for w in words), *(f"\n{w}" for w in words)])
+
+
+BLANK = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="ab9.,;:!?)('<|-" + BLANK + "  \n\n\t\r\u180e\u200béÀ×÷ªͅд҂҃語䠀倀…”«\x1c\x00", max_size=25), min_size=1, max_size=5))
+def test_cuts_property(texts):
+    if not hasattr(test_cuts_property, "pair"):
+        with open(PATH, encoding="utf-8") as f:
+            test_cuts_property.pair = Tokenizer.from_file(PATH), F.ChunkEncoder(f.read())
+    plain, chunked = test_cuts_property.pair
+    assert chunked(texts) == [ids_of(plain, t).tobytes() for t in texts]
+
+
+def test_slices_and_long_chunks(plain, monkeypatch):
+    monkeypatch.setattr(F, "SLICE", 50)
+    texts = ["", "ab " * 5, "", "x" * 500, "y, z" * 30, "", "<|endoftext|>. a"]
+    parts = [texts[p] for p in F.slices(texts)]
+    assert sum(parts, []) == texts and len(parts) > 2 and list(F.slices([])) == []
+    with open(PATH, encoding="utf-8") as f:
+        encoder = F.ChunkEncoder(f.read())
+    assert [x for p in parts for x in encoder(p)] == [ids_of(plain, t).tobytes() for t in texts]
+    assert encoder(["", ""]) == [b"", b""] and encoder([]) == []
+    assert max(map(len, encoder.known)) <= F.LONGEST < 500
+
+
+@pytest.mark.parametrize("change", ["prefix", "added", "strip", "normalizer"])
+def test_other_tokenizers_are_not_cut(change):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    if change == "prefix":
+        spec["pre_tokenizer"]["add_prefix_space"] = True
+    elif change == "normalizer":
+        spec["normalizer"] = {"type": "Replace", "pattern": {"String": "b, "}, "content": "bb"}
+    else:
+        spec["added_tokens"].append(spec["added_tokens"][0] | {"id": 50257, "content": "b, c" if change == "added" else "<x>", "rstrip": change == "strip"})
+    data = json.dumps(spec)
+    texts = ["a b, c d", "a\nb", "e<x>  f", ""]
+    other = Tokenizer.from_str(data)
+    assert F.ChunkEncoder(data)(texts) == [ids_of(other, t).tobytes() for t in texts]
+
+
 @pytest.mark.parametrize("n", [1, 31, 32, 33, 1000, F.BLOCK_TOKENS - 1, F.BLOCK_TOKENS, F.BLOCK_TOKENS + 1, 3 * F.BLOCK_TOKENS + 777])
 @pytest.mark.parametrize("skew", [0, 1.3, "one"])
 def test_round_trip(n, skew):
