@@ -86,7 +86,11 @@ def identifier(ontology: Ontology, data_objects: tuple[str, ...] = (), unique: t
             new = cut_lineage(by_properties(now.join(waiting, "s", "left_anti"), quads, ontology))
             if new.isEmpty():
                 break
-            found = cut_lineage(found.unionByName(new))
+            # Cached, it has its real size. Its estimated one is a product over the joins of each round, of which the next
+            # round takes the product again: a number with so many digits that planning never ends.
+            before, found = found, cut_lineage(found.unionByName(new)).cache()
+            found.count()
+            before.unpersist()
         return found
 
     return identify
